@@ -1,7 +1,6 @@
 """Byte-level BPE encoding of a whole text column.
 
-The text is cut into pre-tokens by a JVM regular expression. In each Python task the pre-tokens not seen before are
-laid end to end as one linked list of symbols, and merged by a rank queue: one bucket of list positions for each
+The text is cut into pre-tokens by array operations. In each Python task the pre-tokens not seen before are laid end to end as one linked list of symbols, and merged by a rank queue: one bucket of list positions for each
 merge rank, and a hierarchical bitmap of the non-empty buckets whose find-first-set gives the next rank. A bucket is
 taken as a whole (all of its positions, in array operations); entries whose pair has changed since are stale and
 skipped. The cost is in proportion to the merges made, however long a pre-token is.
@@ -20,23 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexlake.llm.pretokens import class_table, pretokens
+
 #: Where the public vocabulary file lies unless another path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Fixed value: how the vocabulary's authors cut text into pre-tokens (Java has no Unicode \s by default).
-PRETOKEN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
-    r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-)
-#: The same for the few texts that hold the mark itself.
-PRETOKEN_PY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MARK = "\x00"
 #: Pre-tokens kept in a Python worker (about 200 bytes each); beyond that the store starts afresh.
 KEPT = 300_000
-#: Symbols laid out in one list at a time.
-AT_ONCE = 2_000_000
+#: Symbols laid out in one list at a time, and bytes of text cut at a time.
+AT_ONCE, CUT = 1_000_000, 2_000_000
 
 
 def _byte_names() -> dict[str, int]:
@@ -97,7 +90,7 @@ class Encoder:
         self.first, self.keys, self.rank_of, self.made = v["first"], v["keys"], v["ranks"], v["made"]
         self.pair_of = np.empty(len(self.keys), np.int64)
         self.pair_of[self.rank_of] = self.keys
-        self.splitter = None
+        self.table = v["classes"]
         self.forget()
 
     def forget(self) -> None:
@@ -181,36 +174,33 @@ class Encoder:
             new = new[n:]
         self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
 
-    def split(self, marked: pa.Array, raw: pa.Array) -> pa.ListArray:
-        """The pre-tokens of each text, with an empty one after the last."""
-        if raw.null_count == len(raw):
-            return pc.split_pattern(marked, MARK)
-        if self.splitter is None:
-            import regex
-
-            self.splitter = regex.compile(PRETOKEN_PY)
-        both = zip(marked.to_pylist(), raw.to_pylist())
-        return pa.array([(self.splitter.findall(r) if r else []) if m is None else m.split(MARK) for m, r in both], pa.list_(pa.string()))
-
-    def numbers(self, marked: pa.Array, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts' pre-tokens end to end, and where each text starts among them."""
         if len(self.number) > KEPT:
             self.forget()
-        lists = self.split(marked, raw)
-        distinct = lists.values.dictionary_encode()
-        known = np.fromiter(map(self.number.__getitem__, distinct.dictionary.to_pylist()), np.int32)
+        codes, sizes, a = [], [], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while a < len(texts):  # a slice of whole texts
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CUT, "right")))
+            pieces, n = pretokens(texts.slice(a, z - a), self.table)
+            distinct = pieces.dictionary_encode()
+            known = np.fromiter(map(self.number.__getitem__, distinct.dictionary.to_pylist()), np.int32)
+            codes.append(known[distinct.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int32))
+            sizes.append(n)
+            a = z
         self.learn()
-        return known[distinct.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int32), lists.offsets.to_numpy()
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(codes or none), np.append(0, np.cumsum(np.concatenate(sizes or none)))
 
-    def counts(self, marked: pa.Array, raw: pa.Array) -> np.ndarray:
+    def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
-        codes, starts = self.numbers(marked, raw)
+        codes, starts = self.numbers(texts)
         total = np.append(0, np.cumsum(np.diff(self.starts)[codes]))
         return np.diff(total[starts])
 
-    def encode(self, marked: pa.Array, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text starts among them."""
-        codes, starts = self.numbers(marked, raw)
+        codes, starts = self.numbers(texts)
         sizes = np.diff(self.starts)[codes]
         total = np.append(0, np.cumsum(sizes))
         out = np.empty(total[-1], np.int32)
@@ -233,10 +223,10 @@ def _encoder(v) -> Encoder:
 
 
 class _Vocabulary:
-    """A broadcast vocabulary (about 50,000 merges, under 2 MB: a fixed file, not data) with an id for the workers."""
+    """A broadcast vocabulary (about 50,000 merges, under 3 MB with the classes of the code points: fixed files, not data) with an id for the workers."""
 
     def __init__(self, spark, path: str) -> None:
-        value = read_vocabulary(path)
+        value = read_vocabulary(path) | {"classes": class_table()}
         self.handle = spark.sparkContext.broadcast(value)
         self.id_ = hash((path, len(value["keys"]), int(value["keys"].sum())))
 
@@ -245,26 +235,17 @@ class _Vocabulary:
         return self.handle.value
 
 
-def _marked(text: Column) -> list[Column]:
-    """The text with a mark after each pre-token; the bare text where it holds the mark itself."""
-    holds = F.instr(text, MARK) > 0
-    return [
-        F.when(holds, None).otherwise(F.regexp_replace(text, F.lit(PRETOKEN), F.lit("$0" + MARK))).alias("marked_"),
-        F.when(holds, text).alias("raw_"),
-    ]
-
-
 def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = VOCABULARY, out: str = "ids") -> DataFrame:
     """The columns `keep` (all but the text, if not given) and `out`, the text's ids as array<int>, row by row."""
     keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
     v = _Vocabulary(df.sparkSession, path)
-    rows = df.select(*keep, *_marked(F.col(text)))
+    rows = df.select(*keep, F.col(text).alias("text_"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(v)
         for b in batches:
-            ids, starts = e.encode(b.column("marked_"), b.column("raw_"))
+            ids, starts = e.encode(b.column("text_"))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], [*keep, out])
 
@@ -275,13 +256,13 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """As `encode`, with the number of ids (0 for a null text) in place of the ids."""
     keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
     v = _Vocabulary(df.sparkSession, path)
-    rows = df.select(*keep, *_marked(F.col(text)))
+    rows = df.select(*keep, F.col(text).alias("text_"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{out}` bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(v)
         for b in batches:
-            n = pa.array(e.counts(b.column("marked_"), b.column("raw_")))
+            n = pa.array(e.counts(b.column("text_")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), n], [*keep, out])
 
     return rows.mapInArrow(run, schema)
