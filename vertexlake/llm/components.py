@@ -14,13 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its neighbours', then that label's own label, so that long
     chains close fast. Links of a node to itself and repeated links are harmless; no links give an empty table.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    both = cut(both.distinct())
-    label = cut(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("root")))
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))
+    both = cut(links.select(F.explode(ends).alias("e")).select("e.node", "e.to").distinct())
+    label = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("root"))
+    label = cut(label)
     while True:
         near = both.join(label.select(F.col("node").alias("to"), F.col("root").alias("r")), "to").groupBy("node").agg(F.min("r").alias("r"))
         new = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        jump = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = cut(new.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")))
         label = new.select("node", "root")
         if not new.filter("old != root").take(1):

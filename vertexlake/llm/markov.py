@@ -20,6 +20,7 @@ are members of one cluster; a vector without similar ones is in no cluster; an e
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,124 +47,124 @@ def _gap2(alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
 
 
 def nodes_of(vectors: DataFrame, dims: int, reach: float) -> tuple[DataFrame, DataFrame]:
-    """Members (space, key, node, v) and nodes (space, node, n, p, q, lo, hi), p and q being two of its vectors."""
+    """Members (space, key, node, v) and nodes (space, node, head, n, p, q, lo, hi): node is a number, head the smallest key, p and q two of its vectors."""
     side = reach / math.sqrt(dims) * 0.999
     x = vectors.withColumn("box", F.transform("v", lambda e: F.floor(e / side)))
     ends = [F.array(*[f(F.col("v")[k]) for k in range(dims)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
-    nodes = cut(x.groupBy("space", "box").agg(F.min("key").alias("node"), F.count("*").alias("n"), F.min("v").alias("p"), F.max("v").alias("q"), *ends))
+    nodes = x.groupBy("space", "box").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.min("v").alias("p"), F.max("v").alias("q"), *ends)
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = x.join(nodes.select("space", "box", "node"), ["space", "box"]).select("space", "key", "node", "v")
     return members, nodes.drop("box")
 
 
 def node_pairs(nodes: DataFrame, dims: int, reach: float) -> DataFrame:
-    """(space, a, b, d2, n_a, n_b, boxes, linked): pairs of nodes whose boxes are within reach; linked is null where members must be asked."""
+    """(a, b, d2, n_a, n_b, boxes, linked): pairs of nodes whose boxes are within reach; linked is null where members must be asked.
+
+    A node is entered in every block its box comes near; a pair that shares several blocks is looked at in the first of them.
+    """
     spread = nodes.agg(*[F.stddev(F.col("p")[k]) for k in range(dims)]).first()
     axes = sorted(range(dims), key=lambda k: -(spread[k] or 0.0))[:AXES]
     side, half = BLOCK * reach, reach / 2 * (1 + 1e-9)
     x = nodes
     for k in axes:
-        x = x.withColumn(f"b{k}", F.explode(F.sequence(F.floor((F.col("lo")[k] - half) / side), F.floor((F.col("hi")[k] + half) / side))))
+        x = x.withColumn(f"f{k}", F.floor((F.col("lo")[k] - half) / side))
+        x = x.withColumn(f"b{k}", F.explode(F.sequence(F.col(f"f{k}"), F.floor((F.col("hi")[k] + half) / side))))
     on = ["space", *[f"b{k}" for k in axes]]
-    cols = ["node", "n", "p", "q", "lo", "hi"]
+    cols = ["node", "n", "p", "q", "lo", "hi", *[f"f{k}" for k in axes]]
     left = x.select(*on, *[F.col(c).alias(f"{c}_a") for c in cols])
     right = x.select(*on, *[F.col(c).alias(f"{c}_b") for c in cols])
     r2 = reach * reach
     c = F.col
-    pairs = left.join(right, on).filter(c("node_a") < c("node_b")).filter(_gap2(c("lo_a"), c("hi_a"), c("lo_b"), c("hi_b")) <= r2 * (1 + 1e-12))
+    first = F.lit(True)
+    for k in axes:
+        first = first & (c(f"b{k}") == F.greatest(c(f"f{k}_a"), c(f"f{k}_b")))
+    pairs = left.join(right, on).filter((c("node_a") < c("node_b")) & first).filter(_gap2(c("lo_a"), c("hi_a"), c("lo_b"), c("hi_b")) <= r2 * (1 + 1e-12))
     d2 = F.least(*[_dist2(c(f"{m}_a"), c(f"{n}_b")) for m in "pq" for n in "pq"])
-    pairs = pairs.select("space", c("node_a").alias("a"), c("node_b").alias("b"), c("n_a"), c("n_b"), "lo_a", "hi_a", "lo_b", "hi_b", d2.alias("d2"))
+    pairs = pairs.select(c("node_a").alias("a"), c("node_b").alias("b"), c("n_a"), c("n_b"), "lo_a", "hi_a", "lo_b", "hi_b", d2.alias("d2"))
     single = (c("n_a") == 1) & (c("n_b") == 1)
     near = F.sqrt("d2") <= reach
-    pairs = pairs.filter(near | ~single).dropDuplicates(["space", "a", "b"])
-    return pairs.withColumn("linked", F.when(near, True))
+    return pairs.filter(near | ~single).withColumn("linked", F.when(near, True))
 
 
 def ask_members(open_: DataFrame, members: DataFrame, reach: float) -> DataFrame:
-    """Of the open pairs those (space, a, b) that hold two vectors within reach; only members near the other's box are asked."""
-    m = members.select("space", F.col("node"), "v")
-    zero = F.transform("v", lambda e: e)
+    """Of the open pairs those (a, b) that hold two vectors within reach; only members near the other's box are asked."""
+    m = members.select("node", "v")
 
     def side(own: str, other: str) -> DataFrame:
-        j = open_.withColumnRenamed(own, "node").join(m, ["space", "node"]).withColumnRenamed("node", own)
-        near = _gap2(zero, zero, F.col(f"lo_{other}"), F.col(f"hi_{other}")) <= reach * reach * (1 + 1e-12)
-        return j.filter(near).select("space", "a", "b", F.col("v").alias(f"v_{own}"))
+        j = open_.withColumnRenamed(own, "node").join(m, "node").withColumnRenamed("node", own)
+        near = _gap2(F.col("v"), F.col("v"), F.col(f"lo_{other}"), F.col(f"hi_{other}")) <= reach * reach * (1 + 1e-12)
+        return j.filter(near).select("a", "b", F.col("v").alias(f"v_{own}"))
 
-    both = side("a", "b").join(side("b", "a"), ["space", "a", "b"])
-    return both.filter(F.sqrt(_dist2(F.col("v_a"), F.col("v_b"))) <= reach).select("space", "a", "b").distinct()
+    both = side("a", "b").join(side("b", "a"), ["a", "b"])
+    return both.filter(F.sqrt(_dist2(F.col("v_a"), F.col("v_b"))) <= reach).select("a", "b").distinct()
 
 
 def _scaled(m: DataFrame) -> DataFrame:
     """The entries that are not small, at most KEEP of a column, scaled to columns of sum 1."""
-    by = Window.partitionBy("space", "j")
+    by = Window.partitionBy("j")
     m = m.withColumn("rn", F.row_number().over(by.orderBy(F.col("v").desc(), F.col("i")))).filter(F.col("rn") <= KEEP)
-    m = m.withColumn("v", F.col("v") / F.sum("v").over(by)).filter(F.col("v") >= SMALL)
-    return m.withColumn("v", F.col("v") / F.sum("v").over(by)).select("space", "i", "j", "v")
+    m = m.withColumn("s", F.sum("v").over(by)).filter(F.col("v") >= SMALL * F.col("s"))
+    return m.withColumn("v", F.col("v") / F.sum("v").over(by)).select("i", "j", "v")
 
 
 def flow(links: DataFrame, reach: float, rounds: int = ROUNDS) -> DataFrame:
-    """(space, i, j, v): the matrix of links (space, a, b, d2, n_a, n_b) when it no longer changes."""
+    """(i, j, v): the matrix of links (a, b, d2, n_a, n_b) when it no longer changes, i.e. every column's flow is in equal parts."""
     w = F.exp(-F.col("d2") / (reach * reach))
-    m = links.select("space", F.col("a").alias("i"), F.col("b").alias("j"), (w * F.col("n_a")).alias("v"))
-    m = m.unionByName(links.select("space", F.col("b").alias("i"), F.col("a").alias("j"), (w * F.col("n_b")).alias("v")))
-    ends = links.select("space", F.col("a").alias("i"), F.col("n_a").alias("n")).unionByName(links.select("space", F.col("b").alias("i"), F.col("n_b").alias("n")))
-    m = cut(_scaled(m.unionByName(ends.distinct().select("space", "i", F.col("i").alias("j"), F.col("n").cast("double").alias("v")))))
+    entry = lambda i, j, v: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), v.cast("double").alias("v"))
+    each = [entry("a", "b", w * F.col("n_a")), entry("b", "a", w * F.col("n_b")), entry("a", "a", F.col("n_a")), entry("b", "b", F.col("n_b"))]
+    m = links.select(F.explode(F.array(*each)).alias("e")).groupBy("e.i", "e.j").agg(F.max("e.v").alias("v"))
+    m = cut(_scaled(m))
     for _ in range(rounds):
-        right = m.select("space", F.col("i").alias("k"), "j", F.col("v").alias("u"))
-        square = m.withColumnRenamed("j", "k").join(right, ["space", "k"]).groupBy("space", "i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("v"))
-        new = cut(_scaled(square.withColumn("v", F.col("v") * F.col("v"))))
-        moved = new.join(m.withColumnRenamed("v", "old"), ["space", "i", "j"], "full").filter(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) > 1e-4)
-        m = new
-        if not moved.take(1):
+        right = m.select(F.col("i").alias("k"), "j", F.col("v").alias("u"))
+        square = m.withColumnRenamed("j", "k").join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("v"))
+        m = cut(_scaled(square.withColumn("v", F.col("v") * F.col("v"))))
+        chaos = m.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("c"))
+        if not chaos.filter("c > 1e-3").take(1):
             break
     return m
 
 
-def cluster(vectors: DataFrame, dims: int, reach: float) -> tuple[DataFrame, DataFrame]:
-    """Members (space, cluster_key, member_key, size) of each cluster of two or more, and its typical members.
+def cluster(vectors: DataFrame, dims: int, reach: float) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """Members (space, cluster_key, member_key, size) of each cluster of two or more, and a function that gives typical members.
 
     Typical: (space, cluster_key, size, place, member_key, flow), the nodes of most received flow first; flow is the
     number of members whose flow ends in the node. vectors: (space, key, v).
     """
     members, nodes = nodes_of(cut(vectors), dims, reach)
     pairs = cut(node_pairs(nodes, dims, reach))
-    links = pairs.filter("linked").select("space", "a", "b", "d2", "n_a", "n_b")
-    m = flow(links, reach)
-    best = m.groupBy("space", "j").agg(F.max(F.struct(F.col("v"), F.col("i"))).alias("best"))
-    home = cut(best.select("space", F.col("j").alias("node"), F.col("best.i").alias("attractor")))
+    m = flow(pairs.filter("linked"), reach)
+    home = cut(m.groupBy("j").agg(F.max_by("i", F.struct(F.col("v"), -F.col("i"))).alias("at")).withColumnRenamed("j", "node"))
 
     # The exact step: attractors whose clusters a link connects belong together.
-    tag = F.concat(F.col("space"), F.lit("\x01"), F.col("node"))
-
-    def at(df: DataFrame, side: str) -> DataFrame:
-        h = home.select("space", F.col("node").alias(side), F.col("attractor").alias(f"{side}_at"))
-        return df.join(h, ["space", side], "left").withColumn(f"{side}_at", F.coalesce(f"{side}_at", side))
-
     def joined(df: DataFrame) -> DataFrame:
-        name = lambda c: F.concat(F.col("space"), F.lit("\x01"), F.col(c))
-        return at(at(df.select("space", "a", "b"), "a"), "b").select(name("a_at").alias("a"), name("b_at").alias("b"))
+        x = df.select("a", "b")
+        for side in "ab":
+            x = x.join(home.select(F.col("node").alias(side), F.col("at").alias(f"{side}_at")), side, "left")
+        return x.select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b")).distinct()
 
-    loops = home.select(F.concat("space", F.lit("\x01"), "node").alias("a"), F.concat("space", F.lit("\x01"), "attractor").alias("b"))
-    bonds = cut(joined(links).unionByName(loops).distinct())
+    bonds = joined(pairs.filter("linked")).unionByName(home.select(F.col("node").alias("a"), F.col("at").alias("b")))
     root = components(bonds)
     open_ = pairs.filter("linked is null")
     if open_.take(1):
-        r = root.withColumnRenamed("root", "r")
-        names = open_.withColumn("ta", F.concat("space", F.lit("\x01"), "a")).withColumn("tb", F.concat("space", F.lit("\x01"), "b"))
-        names = names.join(r.withColumnsRenamed({"node": "ta", "r": "ra"}), "ta", "left").join(r.withColumnsRenamed({"node": "tb", "r": "rb"}), "tb", "left")
-        asked = cut(names.filter(F.coalesce("ra", "ta") != F.coalesce("rb", "tb")).select(*open_.columns))
+        x = open_
+        for side in "ab":
+            x = x.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        asked = cut(x.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*open_.columns))
         if asked.take(1):
             more = cut(ask_members(asked, members, reach))
             if more.take(1):
-                root = components(bonds.unionByName(joined(more)).distinct())
-    full = members.withColumn("t", tag).join(root.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    full = full.select("space", "key", "node", "root")
+                root = components(bonds.unionByName(joined(more)))
+    full = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).select("space", "key", "node", "root")
     size = full.groupBy("root").agg(F.count("*").alias("size"), F.min("key").alias("cluster_key")).filter("size > 1")
-    out = cut(full.join(size, "root"))
-    got = m.join(nodes.select("space", F.col("node").alias("j"), "n"), ["space", "j"]).groupBy("space", F.col("i").alias("node")).agg(F.sum(F.col("v") * F.col("n")).alias("flow"))
-    alone = nodes.select("space", "node", F.col("n").cast("double").alias("own"))
-    heads = out.filter("key = node").select("space", "node", "cluster_key", "size").join(got, ["space", "node"], "left").join(alone, ["space", "node"])
-    heads = heads.join(home.select("space", "node", F.lit(1).alias("inside")), ["space", "node"], "left")
-    heads = heads.withColumn("flow", F.coalesce("flow", F.when(F.col("inside").isNull(), F.col("own")), F.lit(0.0)))
-    place = F.row_number().over(Window.partitionBy("space", "cluster_key").orderBy(F.round("flow", 6).desc(), "node"))
-    typical = heads.withColumn("place", place).filter("place <= 3").select("space", "cluster_key", "size", "place", F.col("node").alias("member_key"), F.round("flow", 6).alias("flow"))
+    out = full.join(size, "root")
+
+    def typical() -> DataFrame:
+        got = m.join(nodes.select(F.col("node").alias("j"), "n"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("v") * F.col("n")).alias("flow"))
+        heads = nodes.select("node", F.col("head").alias("key"), F.col("n").cast("double").alias("own"))
+        heads = heads.join(out.select("space", "node", "key", "cluster_key", "size"), ["node", "key"]).join(got, "node", "left").join(home.select("node", F.lit(1).alias("inside")), "node", "left")
+        f = F.round(F.coalesce("flow", F.when(F.col("inside").isNull(), F.col("own")), F.lit(0.0)), 6)
+        x = heads.withColumn("flow", f)
+        place = F.row_number().over(Window.partitionBy("space", "cluster_key").orderBy(F.col("flow").desc(), "key"))
+        return x.withColumn("place", place).filter("place <= 3").select("space", "cluster_key", "size", "place", F.col("key").alias("member_key"), "flow")
+
     return out.select("space", "cluster_key", F.col("key").alias("member_key"), "size"), typical

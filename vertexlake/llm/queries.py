@@ -67,7 +67,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical members of each cluster."""
-    return markov.cluster(_vectors(spark, d), DIMS, CLUSTER_REACH)[1]
+    return markov.cluster(_vectors(spark, d), DIMS, CLUSTER_REACH)[1]()
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
