@@ -5,39 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO52 = 1 << 52
-
-
-def _exponent(x: Column) -> Column:
-    """floor(log2 x) of a normal positive double, corrected where log2 rounds across a power of two."""
-    e = F.floor(F.log2(x))
-    e = F.greatest(F.lit(-1022), F.least(F.lit(1023), e)).cast("int")
-    m = _scale(x, -e)
-    return F.when(m >= 2.0, e + 1).when(m < 1.0, e - 1).otherwise(e)
-
-
-def _scale(x: Column, e: Column) -> Column:
-    """x * 2**e in two exact steps, so that neither factor over- or underflows."""
-    h = F.floor(e / 2).cast("int")
-    return x * F.pow(F.lit(2.0), h) * F.pow(F.lit(2.0), e - h)
-
 
 def code_of(x: Column) -> Column:
     """The bits of a finite double of at least 0 as a bigint: larger value, larger code; -0.0 and 0.0 give 0.
 
     Null, NaN, infinite and negative values give null.
     """
-    e = _exponent(x)
-    normal = (e.cast("bigint") + 1023) * _TWO52 + ((_scale(x, -e) - 1.0) * float(_TWO52)).cast("bigint")
-    tiny = (x * float(2.0**537) * float(2.0**537)).cast("bigint")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x.cast("double")).cast("bigint")
     ok = x.isNotNull() & ~F.isnan(x) & (x >= 0.0) & (x <= 1.7976931348623157e308)
-    return F.when(~ok, None).when(x == 0.0, F.lit(0).cast("bigint")).when(x < 2.2250738585072014e-308, tiny).otherwise(normal)
+    return F.when(~ok, None).when(x == 0.0, F.lit(0).cast("bigint")).otherwise(bits)
 
 
 def value_of(code: Column) -> Column:
     """The double whose `code_of` is `code`."""
-    e = F.floor(F.shiftright(code, 52)).cast("int")
-    m = F.pmod(code, F.lit(_TWO52)).cast("double")
-    normal = _scale(1.0 + m / float(_TWO52), e - 1023)
-    tiny = m * float(2.0**-537) * float(2.0**-537)
-    return F.when(code.isNull(), None).when(e == 0, tiny).otherwise(normal)
+    return F.when(code.isNotNull(), F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), code.cast("bigint")).cast("double"))
