@@ -17,7 +17,7 @@ from vertexlake.session import broadcast_if_small
 def ordered(archetypes: DataFrame, by: list[str], kind: str = "cosine") -> DataFrame:
     """(by, arch_id, place): a fixed order within each fit, ties by arch_id; see `geometry.order_of`."""
     p = F.col("position")
-    score = -p[0] + p[1] if kind == "side" else vectors.total(p) / F.sqrt(2 * vectors.dot(p, p))
+    score = F.coalesce(F.get(p, 1), F.lit(0.0)) - F.get(p, 0) if kind == "side" else F.try_divide(vectors.total(p), F.sqrt(2 * vectors.dot(p, p)))
     w = Window.partitionBy(*by).orderBy(F.round(score, 9), "arch_id")  # a few archetypes for each fit
     return archetypes.select(*by, "arch_id", F.row_number().over(w).cast("bigint").alias("place"))
 
@@ -81,7 +81,7 @@ def quality(long: DataFrame, marker: DataFrame) -> DataFrame:
     m, _ = broadcast_if_small(marker.distinct().withColumn("in_", F.lit(1)))
     x = long.join(m, "feature", "left").groupBy("sample_id")
     inside = F.sum(F.when(F.col("in_") == 1, F.col("value")).otherwise(0.0))
-    return x.agg(F.sum("value").alias("total"), (F.count("*") / float(max(n, 1))).alias("detected"), (inside / F.sum("value")).alias("marker_share"))
+    return x.agg(F.sum("value").alias("total"), (F.count("*") / float(max(n, 1))).alias("detected"), F.try_divide(inside, F.sum("value")).alias("marker_share"))
 
 
 def permute_features(long: DataFrame, seed: int, replicate: int | None = None) -> DataFrame:

@@ -31,4 +31,4 @@ def equal_bins(df: DataFrame, by: list[str], value: str, ties: list[str | Column
 def choose_bins(binned: DataFrame, select: list[int] | None = None, combine: list[int] | None = None) -> DataFrame:
     """Only the bins in `select`; each bin renamed to the entry of `combine` at its place."""
     x = binned if select is None else binned.filter(F.col("bin").isin(select))
-    return x if combine is None else x.withColumn("bin", F.element_at(F.array(*map(F.lit, combine)), F.col("bin")))
+    return x if combine is None else x.withColumn("bin", F.get(F.array(*map(F.lit, combine)), F.col("bin") - 1))

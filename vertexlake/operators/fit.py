@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexlake.functions import blocks
 from vertexlake.operators import geometry, pcha
 
 #: Numbers in a matrix that is sent to the tasks: 16 MB.
@@ -66,7 +67,7 @@ def whole_rows(samples: DataFrame, dims: int | None = None) -> tuple[DataFrame,
 def local_matrix(good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(ids, dims x samples) of a table already known to be small, in the order of ids."""
     pdf = good.toPandas().sort_values("sample_id", ignore_index=True)
-    return pdf["sample_id"].to_numpy(), np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1).T
+    return pdf["sample_id"].to_numpy(), blocks.rows(pdf["features"]).T
 
 
 def _keys(seed: int, stream: str, replicate: int, n: int) -> np.ndarray:
@@ -293,7 +294,7 @@ def position_variance(archetypes: DataFrame, samples: DataFrame) -> tuple[DataFr
     """(k, arch_id, var_vert) and (k, total_var): how far replicates of an archetype vary, over the variance of the data."""
     v = archetypes.select("k", "arch_id", F.posexplode("position").alias("pos", "v")).groupBy("k", "arch_id", "pos").agg(F.var_samp("v").alias("v"))
     total = samples.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("d"))
-    vert = v.join(F.broadcast(total), "pos").groupBy("k", "arch_id").agg((F.sum("v") / F.sum("d")).alias("var_vert"))
+    vert = v.join(F.broadcast(total), "pos").groupBy("k", "arch_id").agg(F.try_divide(F.sum("v"), F.sum("d")).alias("var_vert"))
     return vert, vert.groupBy("k").agg(F.avg("var_vert").alias("total_var"))
 
 
@@ -302,7 +303,7 @@ def dimension_variance(archetypes: DataFrame, samples: DataFrame, normalise: boo
     a = archetypes.select("k", F.posexplode("position").alias("pos", "v")).groupBy("k", "pos").agg(F.var_samp("v").alias("v"))
     if not normalise:
         return a.withColumnRenamed("v", "var_dim")
-    return a.join(F.broadcast(data_variance(samples)), "pos").select("k", "pos", (F.col("v") / F.col("data_var")).alias("var_dim"))
+    return a.join(F.broadcast(data_variance(samples)), "pos").select("k", "pos", F.try_divide(F.col("v"), F.col("data_var")).alias("var_dim"))
 
 
 def variance_ratio(archetypes: DataFrame, samples: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def summarise(derivs: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("y_name", "x_name")
     x = derivs.withColumn("rn", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
-    part = lambda share: F.sum(F.when(F.col("rn") <= F.ceil(F.col("n") * share), F.col("weights") * F.col("deriv"))) / F.sum(F.when(F.col("rn") <= F.ceil(F.col("n") * share), F.col("weights")))
+    part = lambda share: F.try_divide(F.sum(F.when(F.col("rn") <= F.ceil(F.col("n") * share), F.col("weights") * F.col("deriv"))), F.sum(F.when(F.col("rn") <= F.ceil(F.col("n") * share), F.col("weights"))))
     s = x.groupBy("y_name", "x_name").agg(part(1.0).alias("deriv100"), part(0.5).alias("deriv50"), part(0.2).alias("deriv20"), F.avg("prob_neg").alias("mean_prob"), F.product("prob_neg").alias("prod_prob"))
     others = s.select("y_name", F.col("x_name").alias("other"), F.col("mean_prob").alias("m"), F.col("prod_prob").alias("q"))
     o = s.select("y_name", "x_name").join(others, "y_name").filter("x_name <> other")

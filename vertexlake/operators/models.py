@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexlake.functions import keyed, ranks, vectors
+from vertexlake.functions import blocks, keyed, ranks, vectors
 from vertexlake.operators.bins import choose_bins, equal_bins
 from vertexlake.session import broadcast_if_small
 
@@ -59,7 +59,7 @@ def poisson_regression(long: DataFrame, covariates: DataFrame | None = None, sd:
     g = x.groupBy("feature", "x").agg(F.sum("value").alias("y"), F.count("*").cast("double").alias("n"), ylog.alias("l"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
+        a = blocks.rows(pdf["x"])
         y, n = pdf["y"].to_numpy(float), pdf["n"].to_numpy(float)
         # n rows of one covariate: sum of log-likelihoods is y.eta - n.exp(eta), i.e. an offset of ln n.
         a1 = np.column_stack([np.ones(len(y)), a]) if a.size else np.ones((len(y), 1))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexlake.functions import keyed
+from vertexlake.functions import blocks, keyed
 
 
 @dataclass
@@ -151,7 +151,7 @@ def dictionary(samples: DataFrame, dims: int, directions: int = 200, seed: int =
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[float, list[float]]] = {}
         for b in batches:
-            x = np.array(b["features"].tolist(), float).reshape(len(b), -1)
+            x = blocks.rows(b["features"])
             if not len(x):
                 continue
             p = x @ w.T
@@ -197,7 +197,7 @@ def _distributed(good: DataFrame, k: int, dims: int, seed: int, conv: float, max
         def sums(batches: Iterator[pd.DataFrame], xc: np.ndarray = xc) -> Iterator[pd.DataFrame]:
             ss, xs, sse, sst = np.zeros((k, k)), np.zeros((dims, k)), 0.0, 0.0
             for b in batches:
-                x = np.array(b["features"].tolist(), float).reshape(len(b), -1).T
+                x = blocks.rows(b["features"]).T
                 if not x.shape[1] or not len(b):
                     continue
                 s = simplex_weights(x, xc)
@@ -226,7 +226,7 @@ def weights(samples: DataFrame, xc: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["features"].tolist(), float).reshape(len(b), -1).T
+            x = blocks.rows(b["features"]).T
             s = simplex_weights(x, xc) if len(b) else np.zeros((xc.shape[1], 0))
             yield pd.DataFrame({"sample_id": b["sample_id"], "weights": list(s.T)})
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexlake.functions import blocks
+
 #: Up to so many features the feature-by-feature products are summed and solved on the driver (32 MB).
 GRAM = 2_000
 
@@ -47,7 +49,7 @@ def gram(samples: DataFrame, dims: int) -> np.ndarray:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = np.zeros((dims, dims))
         for b in batches:
-            x = np.array(b["features"].tolist(), float).reshape(len(b), -1)
+            x = blocks.rows(b["features"])
             if x.size:
                 g += x.T @ x
         yield pd.DataFrame({"i": np.arange(dims), "row": list(g)})
@@ -99,7 +101,7 @@ def to_components(samples: DataFrame, s: Svd) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["features"].tolist(), float).reshape(len(b), len(s.u))
+            x = blocks.rows(b["features"], len(s.u))
             if s.log2:
                 x = np.log2(x + s.offset)
             if s.means is not None:

@@ -41,7 +41,7 @@ def rank_statistics(long: DataFrame, bins: DataFrame) -> DataFrame:
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n0 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    var = n1 * n0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    var = n1 * n0 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))
     z = F.when(var > 0, (u - n1 * n0 / 2 - 0.5) / F.sqrt(var))
     mean1, mean0 = F.col("s1") / n1, F.when(n0 > 0, (F.col("sum_all") - F.col("s1")) / n0)
     return x.select(F.col("arch").alias("x_name"), F.col("feature").alias("y_name"), F.col("n1").alias("sample_count"), u.alias("u"), z.alias("z"), (mean1 - mean0).alias("mean_diff"), mean1.alias("top_bin_mean"))
