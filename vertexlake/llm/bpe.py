@@ -239,13 +239,14 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, pat
     """The columns `keep` (all but the text, if not given) and `out`, the text's ids as array<int>, row by row."""
     keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
     v = _Vocabulary(df.sparkSession, path)
-    rows = df.select(*keep, F.col(text).alias("text_"))
+    own = "text_" + "_" * max(map(len, keep), default=0)  # a name no other column has
+    rows = df.select(*keep, F.col(text).alias(own))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(v)
         for b in batches:
-            ids, starts = e.encode(b.column("text_"))
+            ids, starts = e.encode(b.column(own))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], [*keep, out])
 
@@ -256,13 +257,14 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """As `encode`, with the number of ids (0 for a null text) in place of the ids."""
     keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
     v = _Vocabulary(df.sparkSession, path)
-    rows = df.select(*keep, F.col(text).alias("text_"))
+    own = "text_" + "_" * max(map(len, keep), default=0)  # a name no other column has
+    rows = df.select(*keep, F.col(text).alias(own))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{out}` bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(v)
         for b in batches:
-            n = pa.array(e.counts(b.column("text_")))
+            n = pa.array(e.counts(b.column(own)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), n], [*keep, out])
 
     return rows.mapInArrow(run, schema)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexlake.functions import blocks
 from vertexlake.session import cut
 
 #: Points that one task chooses from.
@@ -96,7 +97,7 @@ def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, all_
 
 def _choose(pdf: pd.DataFrame, size: int | None, reach: float, last: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
-    x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+    x = blocks.rows(pdf["v"])
     at, gains = greedy(x, pdf["key"].to_numpy(), size, reach, all_free=not last)
     out = pdf.iloc[at][["key", "v"]].copy()
     out["place"] = np.arange(1, len(at) + 1)
@@ -134,7 +135,7 @@ def alone(vectors: DataFrame, chosen: DataFrame, reach: float) -> DataFrame:
     """
     pdf = chosen.select("key", "v").toPandas()
     keys = pdf["key"].to_numpy()
-    q = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+    q = blocks.rows(pdf["v"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = np.zeros(len(q), bool)

@@ -44,7 +44,7 @@ def _targets(targets: DataFrame) -> DataFrame:
     t = t.withColumn("weight", F.when(F.col("source").isNotNull() & (F.col("share") > 0), F.col("share")).otherwise(0.0))
     upto = F.sum("weight").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))  # a table of settings, a few rows
     total = F.sum("weight").over(Window.partitionBy())
-    t = t.withColumn("z", upto / total).withColumn("a", (upto - F.col("weight")) / total)
+    t = t.withColumn("z", F.try_divide(upto, total)).withColumn("a", F.try_divide(upto - F.col("weight"), total))
     return t.select("source", "share", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("z", F.lit(0.0)).alias("z"))
 
 
@@ -96,7 +96,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BL
     schedule = s.join(small, "source").filter("rank < filled").select("slot", "source", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("repeat"))
     used = m.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"))
     report = plan.join(used, "source", "left").na.fill(0, ["used_tokens"])
-    share = F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy())
+    share = F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy())), F.lit(0.0))
     wants = F.coalesce(F.col("share"), F.lit(0.0)) * float(total)
     report = report.select(
         "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("tokens").alias("available_tokens"),
