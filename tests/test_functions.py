@@ -25,11 +25,11 @@ def test_row_numbers_and_value_ranks_match_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500) / 4))]
     df = spark.createDataFrame(rows, "g int, v double, i int")
-    got = {(r.g, r.i): r.rn for r in ranks.row_numbers(df, ["g"], "v", ["i"], stretches=7).collect()}
+    got = {(r.g, r.i): r.rn for r in ranks.row_numbers(df, ["g"], "v", ["i"], bits=51).collect()}
     for g in range(3):
         order = sorted((v, i) for gg, v, i in rows if gg == g)
         assert all(got[(g, i)] == n for n, (_, i) in enumerate(order, 1))
-    for r in ranks.value_ranks(df, ["g"], "v", stretches=5).collect():
+    for r in ranks.value_ranks(df, ["g"], "v", bits=50).collect():
         own = [v for g, v, _ in rows if g == r.g]
         below, same = sum(v < r.v for v in own), own.count(r.v)
         assert (r.n, r.rank, r.n_all) == (same, below + (same + 1) / 2, len(own))

@@ -19,3 +19,10 @@ def code_of(x: Column) -> Column:
 def value_of(code: Column) -> Column:
     """The double whose `code_of` is `code`."""
     return F.when(code.isNotNull(), F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), code.cast("bigint")).cast("double"))
+
+
+def signed_code(x: Column) -> Column:
+    """The same for doubles of either sign: a larger number has a larger code. Null and NaN give null."""
+    bits = lambda v: F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v).cast("bigint")
+    v = x.cast("double")
+    return F.when(v.isNull() | F.isnan(v), None).when(v == 0.0, F.lit(0).cast("bigint")).when(v < 0.0, -bits(-v)).otherwise(bits(v))

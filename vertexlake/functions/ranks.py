@@ -1,7 +1,8 @@
 """Ranks and running values of whole columns without gathering a group or the table in one task.
 
-A group's values are cut into equal stretches between its least and greatest value; counts of the stretches give each
-one's start, and a window works inside one stretch only. Ties are counted once for each distinct value where ranks are averaged.
+A group's values are cut into stretches by the leading bits of their codes (1024 between a number and its double), so the
+stretches are in the order of the values. Counts of the stretches give each one's start, and a window works inside one
+stretch only. Ties are counted once for each distinct value where ranks are averaged.
 """
 
 from __future__ import annotations
@@ -9,57 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexlake.functions.doubles import signed_code
 from vertexlake.session import broadcast_if_small, cut
 
-#: Stretches of a group.
-STRETCHES = 512
+#: Bits of a value's code that a stretch leaves out.
+BITS = 42
 
 
-def _stretched(df: DataFrame, by: list[str], value: str, stretches: int) -> DataFrame:
+def stretched(df: DataFrame, value: str, bits: int = BITS) -> DataFrame:
     """`df` with the column stretch_; a null or NaN value comes last."""
-    v = F.col(value)
-    good = v.isNotNull() & ~F.isnan(v.cast("double"))
-    ends = df.groupBy(*by).agg(F.min(F.when(good, v)).alias("lo_"), F.max(F.when(good, v)).alias("hi_"))
-    wide = F.col("hi_") > F.col("lo_")
-    at = F.when(~good, stretches).when(~wide, 0).otherwise(F.least(F.lit(stretches - 1), F.floor((v - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * stretches)))
-    if by:
-        ends, _ = broadcast_if_small(ends.withColumnsRenamed({b: f"{b}_g" for b in by}))
-        on = df.join(ends, [F.col(b).eqNullSafe(F.col(f"{b}_g")) for b in by])
-    else:  # one row: its values go into the plan
-        lo, hi = ends.first()
-        on = df.withColumn("lo_", F.lit(lo)).withColumn("hi_", F.lit(hi))
-    return on.withColumn("stretch_", at.cast("int")).drop("lo_", "hi_", *[f"{b}_g" for b in by])
-
-
-def _before(counted: DataFrame, by: list[str]) -> DataFrame:
-    """Of (by, stretch_, n_), what lies before each stretch: n_ of the stretches below."""
-    w = Window.partitionBy(*by).orderBy("stretch_")
-    out = counted.withColumn("before_", F.sum("n_").over(w) - F.col("n_")).drop("n_")
+    return df.withColumn("stretch_", F.coalesce(F.shiftright(signed_code(F.col(value)), bits), F.lit(2**62)))
+
+
+def before(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Of (by, stretch_, n_): before_, the n_ of the stretches below, and all_, that of the group. A null group is one group."""
+    w = Window.partitionBy(*by)
+    out = counted.withColumn("before_", F.sum("n_").over(w.orderBy("stretch_")) - F.col("n_")).withColumn("all_", F.sum("n_").over(w)).drop("n_")
     return broadcast_if_small(out)[0]
 
 
-def row_numbers(df: DataFrame, by: list[str], value: str, ties: list[str | Column], out: str = "rn", stretches: int = STRETCHES) -> DataFrame:
-    """`out`: the place of each row within its group by ascending value, ties by `ties`; nulls and NaN last."""
-    x = _stretched(df, by, value, stretches)
-    before = _before(x.groupBy(*by, "stretch_").agg(F.count("*").alias("n_")), by)
+def with_before(x: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """`x` joined with the starts of its stretches."""
+    s = starts.withColumnsRenamed({b: f"{b}_g" for b in by}).withColumnRenamed("stretch_", "stretch_g")
+    on = [F.col("stretch_") == F.col("stretch_g"), *[F.col(b).eqNullSafe(F.col(f"{b}_g")) for b in by]]
+    return x.join(s, on).drop("stretch_g", *[f"{b}_g" for b in by])
+
+
+def row_numbers(df: DataFrame, by: list[str], value: str, ties: list[str | Column], out: str = "rn", total: str | None = None, bits: int = BITS) -> DataFrame:
+    """`out`: the place of each row within its group by ascending value, ties by `ties`; nulls and NaN last. `total`: the group's rows."""
+    x = stretched(df, value, bits)
+    starts = before(x.groupBy(*by, "stretch_").agg(F.count("*").alias("n_")), by)
     own = F.row_number().over(Window.partitionBy(*by, "stretch_").orderBy(F.col(value).asc_nulls_last(), *ties))
-    return x.withColumn(out, own).join(before, [*by, "stretch_"]).withColumn(out, (F.col(out) + F.col("before_")).cast("bigint")).drop("stretch_", "before_")
+    x = with_before(x.withColumn(out, own), starts, by).withColumn(out, (F.col(out) + F.col("before_")).cast("bigint"))
+    x = x.withColumn(total, F.col("all_")) if total else x
+    return x.drop("stretch_", "before_", "all_")
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, stretches: int = STRETCHES) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, bits: int = BITS) -> DataFrame:
     """(by, value, n, rank, n_all) for each distinct value that is neither null nor NaN: its count and its average rank."""
     good = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = good.groupBy(*by, value).agg(F.count("*").alias("n"))
-    x = _stretched(counts, by, value, stretches)
-    before = _before(x.groupBy(*by, "stretch_").agg(F.sum("n").alias("n_")), by)
+    x = stretched(good.groupBy(*by, value).agg(F.count("*").alias("n")), value, bits)
+    starts = before(x.groupBy(*by, "stretch_").agg(F.sum("n").alias("n_")), by)
     w = Window.partitionBy(*by, "stretch_").orderBy(value)
-    ranked = x.withColumn("upto_", F.sum("n").over(w)).join(before, [*by, "stretch_"])
-    ranked = ranked.withColumn("rank", F.col("before_") + F.col("upto_") - F.col("n") + (F.col("n") + 1) / 2)
-    if by:
-        ranked = ranked.join(broadcast_if_small(good.groupBy(*by).agg(F.count("*").alias("n_all")))[0], by)
-    else:
-        ranked = ranked.withColumn("n_all", F.lit(good.count()).cast("bigint"))
-    return ranked.select(*by, value, "n", "rank", "n_all")
+    x = with_before(x.withColumn("upto_", F.sum("n").over(w)), starts, by)
+    rank = F.col("before_") + F.col("upto_") - F.col("n") + (F.col("n") + 1) / 2
+    return x.select(*by, value, "n", rank.alias("rank"), F.col("all_").alias("n_all"))
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
@@ -77,5 +72,6 @@ def running_min_from_end(df: DataFrame, rn: str, part: str, value: Column, out:
     least = x.groupBy(part).agg(F.min(out).alias("m_"))
     later = Window.orderBy(part).rowsBetween(1, Window.unboundedFollowing)  # a row for each partition
     least = least.withColumn("after_", F.min("m_").over(later)).drop("m_")
-    own = F.min(out).over(Window.partitionBy(part).orderBy(rn).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # from the end on, as a frame that only grows
+    own = F.min(out).over(Window.partitionBy(part).orderBy(F.col(rn).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return x.withColumn(out, own).join(F.broadcast(least), part).withColumn(out, F.least(out, "after_")).drop("after_")

@@ -63,8 +63,7 @@ def permutations(spark: SparkSession, n: int) -> DataFrame:
 def extreme_variance(samples: DataFrame, share: float, dims: int) -> DataFrame:
     """(pos, v): variance of each dimension over its floor(n * share / dims / 2) lowest and as many highest values."""
     x = samples.select("sample_id", F.posexplode("features").alias("pos", "value"))
-    n, _ = broadcast_if_small(x.groupBy("pos").agg(F.count("*").alias("n")))
-    x = ranks.row_numbers(x, ["pos"], "value", ["sample_id"], "rn").join(n, "pos")
+    x = ranks.row_numbers(x, ["pos"], "value", ["sample_id"], "rn", total="n")
     m = F.floor(F.col("n") * share / dims / 2)
     return x.filter((F.col("rn") <= m) | (F.col("rn") > F.col("n") - m)).groupBy("pos").agg(F.var_samp("value").alias("v"))
 

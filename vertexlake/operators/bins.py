@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexlake.functions.ranks import row_numbers
-from vertexlake.session import broadcast_if_small
 
 
 def bins_by_share(dist: DataFrame, share: float = 0.1) -> DataFrame:
     """(arch, sample_id): the round(n * share) nearest samples of each archetype (half to even), ties by sample."""
-    size, _ = broadcast_if_small(dist.groupBy("arch").agg(F.bround(F.count("*") * share, 0).alias("size")))
-    return row_numbers(dist, ["arch"], "dist", ["sample_id"]).join(size, "arch").filter(F.col("rn") <= F.col("size")).select("arch", "sample_id")
+    x = row_numbers(dist, ["arch"], "dist", ["sample_id"], total="n")
+    return x.filter(F.col("rn") <= F.bround(F.col("n") * share, 0)).select("arch", "sample_id")
 
 
 def bins_by_cutoff(dist: DataFrame, cutoff: float) -> DataFrame:
@@ -22,9 +21,8 @@ def bins_by_cutoff(dist: DataFrame, cutoff: float) -> DataFrame:
 
 def equal_bins(df: DataFrame, by: list[str], value: str, ties: list[str | Column], n_bins: int) -> DataFrame:
     """`bin`: 1..n_bins by rank, each of round(n / n_bins) rows (half to even); the last takes what is left."""
-    n, _ = broadcast_if_small(df.groupBy(*by).agg(F.count("*").alias("n_")))
     each = F.greatest(F.lit(1.0), F.bround(F.col("n_") / n_bins, 0))
-    x = row_numbers(df, by, value, ties, out="rn_").join(n, by)
+    x = row_numbers(df, by, value, ties, out="rn_", total="n_")
     return x.withColumn("bin", F.least(F.lit(n_bins), F.ceil(F.col("rn_") / each)).cast("int")).drop("rn_", "n_")
 
 

@@ -347,10 +347,9 @@ def resample(samples: DataFrame, share: float, seed: int = 235, replicate: int =
     """round(n * share) samples (half to even) without replacement: those of the least keys."""
     from vertexlake.functions import keyed, ranks
 
-    n = samples.count()
-    m = int(np.round(n * share))
     x = samples.withColumn("key_", keyed.uniform(seed, "boot", F.lit(replicate), F.col("sample_id")))
-    return ranks.row_numbers(x, [], "key_", ["sample_id"], "rn_").filter(F.col("rn_") <= m).drop("key_", "rn_")
+    x = ranks.row_numbers(x, [], "key_", ["sample_id"], "rn_", total="n_")
+    return x.filter(F.col("rn_") <= F.bround(F.col("n_") * share, 0)).drop("key_", "rn_", "n_")
 
 
 def spark_kmeans(samples: DataFrame, k: int, seed: int = 0, starts: int = 1) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from vertexlake.functions import blocks, keyed, ranks, vectors
 from vertexlake.operators.bins import choose_bins, equal_bins
-from vertexlake.session import broadcast_if_small
 
 
 def deviance(long: DataFrame, n_samples: int) -> DataFrame:
@@ -84,13 +83,8 @@ def split_by_class(df: DataFrame, label: str, id_: str, share: float = 0.3, seed
     """`validation`: round(n * share) rows of each class (half to even), or of the table, those of the least keys."""
     by = [label] if per_class else []
     x = df.withColumn("key_", keyed.uniform(seed, "split", F.col(id_)))
-    x = ranks.row_numbers(x, by, "key_", [id_], "rn_")
-    if by:
-        n, _ = broadcast_if_small(df.groupBy(*by).agg(F.bround(F.count("*") * share, 0).alias("n_")))
-        x = x.join(n, by)
-    else:
-        x = x.withColumn("n_", F.bround(F.lit(df.count()) * share, 0))
-    return x.withColumn("validation", F.col("rn_") <= F.col("n_")).drop("key_", "rn_", "n_")
+    x = ranks.row_numbers(x, by, "key_", [id_], "rn_", total="n_")
+    return x.withColumn("validation", F.col("rn_") <= F.bround(F.col("n_") * share, 0)).drop("key_", "rn_", "n_")
 
 
 def make_features(dist: DataFrame, long: DataFrame, n_bins: int = 10, n_samples: int = 10, select: list[int] | None = None, combine: list[int] | None = None, seed: int = 3) -> DataFrame:

@@ -37,7 +37,7 @@ def rank_statistics(long: DataFrame, bins: DataFrame) -> DataFrame:
     inside = good.join(small, "sample_id").groupBy(F.col("arch"), "feature", "value").agg(F.count("*").alias("m"))
     inside = inside.join(r.select("feature", "value", "rank"), ["feature", "value"])
     got = inside.groupBy("arch", "feature").agg(F.sum("m").alias("n1"), F.sum(F.col("m") * F.col("rank")).alias("r1"), F.sum(F.col("m") * F.col("value")).alias("s1"))
-    x = got.join(broadcast_if_small(per)[0], "feature")
+    x = got.join(per, "feature")
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n0 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -53,7 +53,7 @@ def median_differences(long: DataFrame, bins: DataFrame) -> DataFrame:
     counts = good.groupBy("feature", "value").agg(F.count("*").alias("n"))
     small, _ = broadcast_if_small(bins)
     inside = good.join(small, "sample_id").groupBy("arch", "feature", "value").agg(F.count("*").alias("n"))
-    names, _ = broadcast_if_small(inside.select("arch", "feature").distinct())
+    names, _ = broadcast_if_small(inside.select("arch", "feature").distinct())  # archetypes by features
     out = counts.join(names, "feature").join(inside.withColumnRenamed("n", "m"), ["arch", "feature", "value"], "left")
     out = out.select("arch", "feature", "value", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).filter("n > 0")
     both = inside.withColumn("side", F.lit(1)).unionByName(out.withColumn("side", F.lit(0)))
@@ -64,12 +64,11 @@ def median_differences(long: DataFrame, bins: DataFrame) -> DataFrame:
 
 def weighted_median(counts: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
     """(by, median) of values with counts: the mean of the two middle values of an even number."""
-    x = ranks._stretched(counts, by, value, ranks.STRETCHES)
-    before = ranks._before(x.groupBy(*by, "stretch_").agg(F.sum(n).alias("n_")), by)
+    x = ranks.stretched(counts, value)
+    starts = ranks.before(x.groupBy(*by, "stretch_").agg(F.sum(n).alias("n_")), by)
     w = Window.partitionBy(*by, "stretch_").orderBy(value)
-    x = x.withColumn("upto_", F.sum(n).over(w)).join(before, [*by, "stretch_"])
-    all_, _ = broadcast_if_small(counts.groupBy(*by).agg(F.sum(n).alias("all_")))
-    x = x.join(all_, by).withColumn("hi_", F.col("before_") + F.col("upto_")).withColumn("lo_", F.col("hi_") - F.col(n))
+    x = ranks.with_before(x.withColumn("upto_", F.sum(n).over(w)), starts, by)
+    x = x.withColumn("hi_", F.col("before_") + F.col("upto_")).withColumn("lo_", F.col("hi_") - F.col(n))
     a, b = F.floor((F.col("all_") + 1) / 2), F.floor((F.col("all_") + 2) / 2)
     holds = lambda k: (F.col("lo_") < k) & (k <= F.col("hi_"))
     return x.groupBy(*by).agg(((F.sum(F.when(holds(a), F.col(value))) + F.sum(F.when(holds(b), F.col(value)))) / 2).alias("median"))

@@ -73,8 +73,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(`df` marked for broadcast, True) if it has at most `limit` rows, else (`df`, False). Counts the rows."""
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, cheap: bool = False) -> tuple[DataFrame, bool]:
+    """(`df` marked for broadcast, True) if it has at most `limit` rows, else (`df`, False).
+
+    To count the rows, `df` is computed and written once; with `cheap` it is computed again where it is used.
+    """
+    df = df if cheap else cut(df)
     small = df.limit(limit + 1).count() <= limit
     return (F.broadcast(df), True) if small else (df, False)
 
@@ -92,7 +96,7 @@ def attach(rows: DataFrame, state: DataFrame, on: list[str], salt_by: list[str],
     A state of at most `limit` rows is broadcast. A larger one is repeated `salts` times and joined on the key and
     a salt, so a hot key is spread over `salts` tasks.
     """
-    state, small = broadcast_if_small(state, limit)
+    state, small = broadcast_if_small(state, limit, cheap=True)
     if small:
         return rows.join(state, on, how)
     rows, state = salted(rows, state, salts, salt_by)
