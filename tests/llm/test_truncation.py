@@ -30,6 +30,8 @@ def at_limit(verdict):
         (TEXT + "\n\npump\t12\t0.25\nlist\t7\t0.50", False),
         (TEXT + "\n\n* one pump\n* two lists", False),
         ("+1", False),
+        (TEXT + "\n\ndef a(x):\n    if x > 2:\n        return x - 1\n    return None", False),
+        (TEXT + "\n\nThe form cut my entry to this:\n    We moved the pu\n\nYours,\nAnna", False),
         (TEXT[:-9], True),
         (TEXT[:-3] + " \n\n", True),
         (TEXT + " There is a copy at http://files.test/arc", True),

@@ -41,6 +41,8 @@ MEASURES = ("chars", "utf8", "utf16", "latin1", "lf_chars", "lf_utf8", "crlf_cha
 _TERM = re.compile(r"""[.!?。！？…‽][)\]"'”»’）」]*$""")
 _QUOTE = re.compile(r"^(?:> ?)+")
 _LINK = re.compile(r"(?:https?|ftp)://\S*$")
+_CODE = re.compile(r"^(?:def|class|if|for|while|function|public|static)\b.*[:{]$")
+_STATEMENT = re.compile(r"return(?: [\w.]+(?: [-+*/] [\w.]+)?)?|[\w.]+\(.*\);?|.*[;})\]]")
 _NAME = re.compile(r"[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){0,3}")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]+)"|([^\s;"]+))', re.I)
 _HEADER = re.compile(r"\A(?:From \S+ .*\n|>?[A-Za-z][\w-]*:.*\n?)(?:[ \t].*\n?)*(?:[A-Za-z][\w-]*:|\Z)")
@@ -97,6 +99,9 @@ def _plain_end(body: str, writer: str) -> tuple[str, str]:
         rows = [x for x in para if "\t" in x]
         same = len(rows) < 2 or (last.count("\t") == rows[-2].count("\t") and len(last.rsplit("\t", 1)[1]) >= len(rows[-2].rsplit("\t", 1)[1]) - (not last[-1].isdigit()))
         return ("whole" if same else "edge"), ""
+    raw = _QUOTE.sub("", body.rstrip().split("\n")[-1])
+    if raw[:1] in " \t" and len(para) > 1 and _CODE.search(para[0]):  # an indented block of a program
+        return ("whole" if _STATEMENT.fullmatch(last) else "edge"), ""
     if re.fullmatch(r"[*\-•+] .{1,60}|\d+[.)] .{1,60}", last) and not _sentence([last[2:].strip()]):
         return "whole", ""
     if len(para) == 2 and len(para[0]) <= 40 and _closing(para[0]) and _NAME.fullmatch(last) and len(last.split()) <= 2:
