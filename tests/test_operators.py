@@ -305,3 +305,54 @@ def test_obo_and_delimited_sources(spark, tmp_path):
     assert [(r.id, r["name"], r.parents) for r in got] == [("GO:1", "one", ["GO:2"])]
     (tmp_path / "t.tsv").write_text("a\tb\n1\tx\n")
     assert matrix.read_delimited(spark, str(tmp_path / "t.tsv")).first().asDict() == {"a": "1", "b": "x"}
+
+
+def test_neighbours_against_brute_force(spark, monkeypatch):
+    from vertexlake.operators import neighbours
+
+    x = points(120, seed=9)
+    d = np.sqrt(((x[:, :, None] - x[:, None, :]) ** 2).sum(0))
+    for size in (2_000_000, 60):
+        monkeypatch.setattr(neighbours, "BLOCK", size)
+        got = {(r.sample_id, r.place): r.neighbour for r in neighbours.knn(frame(spark, x), 5).collect()}
+        assert all(got[i, p + 1] == j for i in range(120) for p, j in enumerate(np.argsort(d[i], kind="stable")[:5]))
+    near = neighbours.knn(frame(spark, x), 5)
+    sets_ = {i: {got[i, p] for p in range(1, 6)} for i in range(120)}
+    w = {(r.a, r.b): r.weight for r in neighbours.shared_neighbours(near).collect()}
+    assert all(math.isclose(v, len(sets_[a] & sets_[b]) / len(sets_[a] | sets_[b])) for (a, b), v in w.items())
+    assert neighbours.knn(frame(spark, x).limit(0), 5).count() == 0
+
+
+def test_pcha_of_a_dictionary_and_targets():
+    x = points(300)
+    f = pcha.pcha(x, 3, seed=1, dictionary=list(range(100)), targets=list(range(50, 300)))
+    assert f.c.shape == (100, 3) and f.s.shape == (3, 250) and f.varexpl > 0.95
+    w = pcha.least_squares_weights(x[:, :4], TRIANGLE.T[:, :2])
+    assert np.allclose(TRIANGLE.T[:, :2] @ w, x[:, :4])
+
+
+def test_every_public_name_is_there_and_prediction_runs(spark):
+    from vertexlake import api
+
+    dist = spark.createDataFrame([("a", i, float(i)) for i in range(40)], "arch string, sample_id int, dist double")
+    long = spark.createDataFrame([(i, f, float(i if f == "f" else -i)) for i in range(40) for f in "fg"], "sample_id int, feature string, value double")
+    p = api.predict(dist, long, np.eye(2), np.zeros(2), ["f", "g"], n_bins=4)
+    assert p.count() == 4 and p.filter("pred_class in (1, 2)").count() == 4
+
+
+def test_nulls_empty_tables_and_repeats_do_not_crash(spark):
+    e = spark.createDataFrame([], "sample_id int, feature string, value double")
+    b = spark.createDataFrame([], "arch string, sample_id int")
+    assert ranktest.find_decreasing_wilcox(e, b).count() == 0
+    assert ranktest.adjust_p(spark.createDataFrame([], "p double")).count() == 0
+    assert sets.auc_scores(e, spark.createDataFrame([], "set_id string, gene string"), 5).count() == 0
+    assert models.deviance(e, 0).count() == 0
+    d = spark.createDataFrame([], "sample_id int, arch string, dist double")
+    assert bins.bins_by_share(d).count() == 0 and distance.rank_distances(d).count() == 0
+    one = spark.createDataFrame([(1, "f", 2.0)], "sample_id int, feature string, value double")
+    assert ranktest.rank_statistics(one, spark.createDataFrame([("a", 1)], "arch string, sample_id int")).first().z is None
+    s = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0])], "sample_id int, features array<double>")
+    assert fit.fit_table(s, 2).archetypes.count() == 0
+    assert sketch.sketch(s, 3).count() == 0
+    n = spark.createDataFrame([("a", None, 1.0), (None, 1, None)], "arch string, sample_id int, dist double")
+    assert bins.equal_bins(n, ["arch"], "dist", ["sample_id"], 3).count() == 2

@@ -173,7 +173,7 @@ def fit_matrix(x: np.ndarray, k: int, method: str = "pcha", seed: int = 0, order
 
 
 def _rows(method: str, k: int, replicate: int, f: pcha.Fit, x: np.ndarray | None, ratio: str, total_var: float = float("nan")) -> tuple[list, tuple]:
-    ok = bool(np.isfinite(f.xc).all())
+    ok = bool(f.xc.size and np.isfinite(f.xc).all())
     hv, av, t = goodness(x, f.xc, ratio) if ok and x is not None else (float("nan"),) * 3
     arch = [(method, k, replicate, j + 1, f"archetype_{j + 1}", [float(v) for v in f.xc[:, j]]) for j in range(f.xc.shape[1])] if ok else []
     none = lambda v: None if v != v else float(v)

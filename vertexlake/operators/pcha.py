@@ -67,19 +67,25 @@ def _descend(v: np.ndarray, gradient, loss, mu: float, value: float, steps: int)
     return v, value, mu
 
 
-def pcha(x: np.ndarray, k: int, seed: int = 0, delta: float = 0.0, conv: float = 1e-4, maxiter: int = 500, inner: int = 10) -> Fit:
-    """Fit k archetypes to x (dims x samples). Fewer samples than k, or values that are not finite, give an unconverged fit of NaN."""
+def pcha(x: np.ndarray, k: int, seed: int = 0, delta: float = 0.0, conv: float = 1e-4, maxiter: int = 500, inner: int = 10, dictionary: list[int] | None = None, targets: list[int] | None = None) -> Fit:
+    """Fit k archetypes to x (dims x samples). Fewer samples than k, or values that are not finite, give an unconverged fit of NaN.
+
+    `dictionary` names the samples that archetypes may be made of, `targets` those that are to be explained (all, if not given).
+    """
+    xi = x if dictionary is None else x[:, dictionary]
+    x = x if targets is None else x[:, targets]
     d, n = x.shape
-    if n < k or not np.isfinite(x).all() or n == 0:
+    ni = xi.shape[1]
+    if ni < k or n == 0 or not np.isfinite(x).all() or not np.isfinite(xi).all():
         return Fit(np.full((d, k), np.nan), None, None, float("nan"), float("nan"), 0, False)
     rng = np.random.default_rng(seed)
     sst = float((x * x).sum()) or 1.0
-    c = np.zeros((n, k))
-    c[furthest_sum(x, k, rng), np.arange(k)] = 1.0
+    c = np.zeros((ni, k))
+    c[furthest_sum(xi, k, rng), np.arange(k)] = 1.0
     alpha = np.ones(k)
     s = -np.log(rng.random((k, n)))
     s /= s.sum(0)
-    xc = x @ c
+    xc = xi @ c
     state = {"mu_s": 1.0, "mu_c": 1.0, "mu_a": 1.0}
 
     def s_step(s: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
@@ -96,10 +102,10 @@ def pcha(x: np.ndarray, k: int, seed: int = 0, delta: float = 0.0, conv: float =
         rounds += 1
         old = sse
         ss, xs = s @ s.T, x @ s.T
-        loss = lambda z: float(sst - 2 * (xs * ((x @ z) * alpha)).sum() + ((((x @ z) * alpha) @ ss) * ((x @ z) * alpha)).sum())  # noqa: B023, E731
-        grad = lambda z: (x.T @ ((((x @ z) * alpha) @ ss - xs) * alpha)) / sst  # noqa: B023, E731
+        loss = lambda z: float(sst - 2 * (xs * ((xi @ z) * alpha)).sum() + ((((xi @ z) * alpha) @ ss) * ((xi @ z) * alpha)).sum())  # noqa: B023, E731
+        grad = lambda z: (xi.T @ ((((xi @ z) * alpha) @ ss - xs) * alpha)) / sst  # noqa: B023, E731
         c, sse, state["mu_c"] = _descend(c, grad, loss, state["mu_c"], loss(c), inner)
-        xc = x @ c
+        xc = xi @ c
         if delta > 0:
             for _ in range(inner):
                 g = (xc * ((xc * alpha) @ ss - xs)).sum(0) / sst
@@ -140,6 +146,11 @@ def simplex_weights(x: np.ndarray, xc: np.ndarray, steps: int = 200) -> np.ndarr
     return s
 
 
+def least_squares_weights(x: np.ndarray, xc: np.ndarray) -> np.ndarray:
+    """For each column of x the weights of its best combination of archetypes without constraints."""
+    return np.linalg.lstsq(xc, x, rcond=None)[0]
+
+
 def dictionary(samples: DataFrame, dims: int, directions: int = 200, seed: int = 11) -> np.ndarray:
     """Extreme samples (dims x m): those furthest along random directions, both ways, found in one aggregate.
 

@@ -463,3 +463,26 @@ def total_order(spark: SparkSession, d: str) -> DataFrame:
     """Numbering of a whole table without one task that holds it."""
     x = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return ranks.numbered(x, [F.col(c) for c in ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).drop("part_")
+
+
+_KNN = f"""{v.EMB}, d as (select a.sample_id, b.sample_id as neighbour, round(list_distance(a.f, b.f), 9) as dist from emb a, emb b),
+k as (select * from (select *, row_number() over (partition by sample_id order by dist, neighbour) as place from d) where place <= 10)"""
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    from vertexlake.operators import neighbours
+
+    return neighbours.knn(matrix.embeddings(spark, d), 10)
+
+
+@query(f"with {_KNN} select sample_id, neighbour, place::int as place, round(dist, 6) as dist from k")
+def knn_emb(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_near(spark, d))
+
+
+@query(f"""with {_KNN}, p as (select x.sample_id as a, y.sample_id as b, count(*) as shared from k x join k y on x.neighbour = y.neighbour and x.sample_id < y.sample_id group by 1, 2)
+select a, b, round(shared / (20.0::double - shared), 6) as weight from p where shared / (20.0::double - shared) >= 1 / 15.0::double""")
+def snn_emb(spark: SparkSession, d: str) -> DataFrame:
+    from vertexlake.operators import neighbours
+
+    return rounded(neighbours.shared_neighbours(_near(spark, d)))
