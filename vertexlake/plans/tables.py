@@ -486,3 +486,59 @@ def snn_emb(spark: SparkSession, d: str) -> DataFrame:
     from vertexlake.operators import neighbours
 
     return rounded(neighbours.shared_neighbours(_near(spark, d)))
+
+
+@query(f"""with {_PROB} select i::int as observed_class, j::int as predicted_class, round(sum(p[i] * p[j]), 6) as "N" from cl, range(1, 11) a(i), range(1, 11) b(j) group by 1, 2""")
+def confusion_soft(spark: SparkSession, d: str) -> DataFrame:
+    """Reference and predicted probabilities are the same here, so the table is symmetric."""
+    x = _classified(spark, d).withColumn("reference", F.col("probabilities"))
+    return rounded(models.soft_confusion(x, "reference", "probabilities"))
+
+
+@query(f"""with {v.QTY}, r as (select *, row_number() over (partition by sample_id order by value desc, feature) as r from qty),
+s as (select distinct p_brand as set_id, p_partkey::varchar as gene from part), sz as (select set_id, least(count(*), 99) as m from s group by 1),
+a as (select r.sample_id, s.set_id, round(sum(100 - r.r) / (any_value(m) * 100 - any_value(m) * (any_value(m) + 1) / 2.0::double), 6) as auc
+  from r join s on s.gene = r.feature join sz on sz.set_id = s.set_id where r.r < 100 group by 1, 2), t as (select set_id, round(avg(auc), 6) as threshold from a group by 1)
+select sample_id, a.set_id, auc, (auc > threshold)::int as active from a join t on t.set_id = a.set_id""")
+def auc_binary(spark: SparkSession, d: str) -> DataFrame:
+    """Scores above their set's mean."""
+    a = rounded(sets.auc_scores(matrix.quantities(spark, d), matrix.part_sets(spark, d), 100))
+    t = a.groupBy("set_id").agg(F.round(F.avg("auc"), 6).alias("threshold"))
+    return sets.binary_scores(a, t).select("sample_id", "set_id", "auc", "active")
+
+
+@query(f"with {v.EMB} select i::int - 1 as pos, round(avg(f[i]), 6) as mean, round(stddev_samp(f[i]), 6) as sd from emb, range(1, 65) t(i) group by 1")
+def moments_emb(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(project.moments(matrix.embeddings(spark, d)))
+
+
+@query("""with t as (select evidenceall as set_id, alias as gene, annot_id from annot_dt), ok as (select set_id from t where set_id is not null group by 1 having count(distinct gene) between 3 and 400),
+k as (select distinct alias as gene from annot_dt where ontologyall = 'CC' and alias is not null) select t.annot_id, t.set_id, t.gene from t join ok on ok.set_id = t.set_id join k on k.gene = t.gene""")
+def targets(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of sets are counted before the keys are matched."""
+    a = _read(spark, d, "annot_dt").select("annot_id", F.col("evidenceall").alias("set_id"), F.col("alias").alias("gene"), "ontologyall")
+    keys = a.filter("ontologyall = 'CC' and gene is not null").select("gene").distinct()
+    return sets.map_targets(a.drop("ontologyall"), keys, 3, 400).select("annot_id", "set_id", "gene")
+
+
+@query(f"""with {_PROB} select sample_id, 'archetype_' || i as arch, round(1 - p[i], 6) as dist from cl, range(1, 11) t(i)""")
+def weight_dist(spark: SparkSession, d: str) -> DataFrame:
+    """One less the weight of each archetype as a distance."""
+    from vertexlake.operators import distance
+
+    w = _classified(spark, d).select("sample_id", F.col("probabilities").alias("weights"))
+    return rounded(distance.weight_distances(w, [f"archetype_{i}" for i in range(1, 11)]))
+
+
+@query("""with q as (select l_suppkey as sample_id, l_returnflag as feature, sum(l_quantity) as value from lineitem group by 1, 2)
+select sample_id, coalesce(max(value) filter (feature = 'A'), 0) as a, coalesce(max(value) filter (feature = 'N'), 0) as n, coalesce(max(value) filter (feature = 'R'), 0) as r from q group by 1""")
+def long_to_vectors(spark: SparkSession, d: str) -> DataFrame:
+    q = _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    f = F.col("features")
+    return matrix.from_long(q, ["A", "N", "R"]).select("sample_id", f[0].alias("a"), f[1].alias("n"), f[2].alias("r"))
+
+
+@query("select event_type, date_trunc('day', ts) as day, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")
+def daily_means(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
+    return rounded(e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -41,12 +42,16 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="vertexlake-")) / "vertexlake_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"vertexlake/{p.relative_to(root)}")
-    sc.addPyFile(str(target))
+    ensure_checkpoint_dir(spark)  # the folder that all executors share
+    target = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get(), "vertexlake_src.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
     _shipped.add(sc.applicationId)
 
 
