@@ -243,8 +243,7 @@ def limits(examined: DataFrame) -> DataFrame:
     # The counts of a source and measure: as many rows as there are distinct lengths.
     w = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-10, 10)
     n = n.withColumn("around", (F.sum("n").over(w) - F.col("n")) / 20)
-    # A byte limit that falls inside a character leaves up to three bytes less, so its peak has a shoulder below.
-    return n.filter((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("around") + LEAST) & (F.pmod(F.col("length"), F.lit(2)) == 0))
+    return n.filter((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("around") + LEAST))
 
 
 def judge(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -252,6 +251,7 @@ def judge(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str =
     x = cut(examine(df, id_, text, source))
     found = cut(limits(x))
     reach = found.filter(F.col("measure").isin("chars", "utf8", "utf16", "latin1", "lf_chars", "lf_utf8", "crlf_chars", "crlf_utf8"))
+    # A byte limit that falls inside a character leaves up to three bytes less.
     reach = reach.withColumn("length", F.explode(F.when(F.col("measure").endswith("utf8"), F.sequence(F.col("length") - 3, F.col("length"))).otherwise(F.array("length"))))
     reach = reach.select("source", "measure", F.col("length").cast("int").alias("length")).distinct()
     measured = x.select("doc_id", F.coalesce("source", F.lit("\x01")).alias("source"), F.explode(F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lengths").alias("length"))).alias("x"))
