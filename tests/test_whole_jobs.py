@@ -2,8 +2,13 @@
 
 import math
 
+import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from tests.test_operators import points
+from vertexlake.operators import fit, pcha
 from vertexlake.plans import catalogue
 
 
@@ -25,3 +30,49 @@ def test_gam_summary_all_takes_every_event(spark, tmp_path):
             for share, d in ((1.0, r.deriv100), (0.5, r.deriv50), (0.2, r.deriv20)):
                 part = t.head(math.ceil(len(t) * share))
                 assert abs(d - (part.w * part.deriv).sum() / part.w.sum()) < 2e-6
+
+
+def two_dims(spark, n=300):
+    x = points(n)
+    return x, spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x.T)], "sample_id int, features array<double>").repartition(3).persist()
+
+
+def test_large_fits_keep_method_ratio_share_and_permutation(spark, monkeypatch):
+    x, df = two_dims(spark)
+    local = fit.fit_table(df, 3).summary.first()
+    km = fit.fit_table(df, 3, method="kmeans").summary.first()
+    monkeypatch.setattr(fit, "LOCAL", 10)
+    s = fit.fit_table(df, 3).summary.first()
+    assert abs(s.hull_vol / local.hull_vol - 1) < 1e-9 and abs(s.t_ratio / local.t_ratio - 1) < 0.05
+    f = fit.fit_table(df, 3, method="kmeans")
+    big = f.summary.first()
+    assert big.method == "kmeans" and abs(big.varexpl - km.varexpl) < 0.1
+    w = {r.sample_id: r.weights for r in f.weights.collect()}
+    own = np.array([np.argmax(w[i]) for i in range(x.shape[1])])
+    centres = np.array([r.position for r in f.archetypes.orderBy("arch_id").collect()])
+    assert (own == ((x.T[:, None] - centres[None]) ** 2).sum(2).argmin(1)).all()
+    assert abs(((x.T - centres[own]) ** 2).sum() - big.sse) < 1e-6 * big.sse
+    with pytest.raises(ValueError):
+        fit.fit_table(df, 3, method="louvain")
+    p = fit.permuted(df, [3], n=1).summary.first()
+    assert p.replicate == 1 and p.t_ratio is not None and p.varexpl < s.varexpl
+
+
+def test_large_draws_are_exact(spark):
+    x, df = two_dims(spark)
+    num = df.withColumn("sample_id", F.col("sample_id") + 1)
+    once = [r.sample_id for r in fit._drawn(num, 300, 0.65, 1, 2, False).collect()]
+    assert len(once) == len(set(once)) == 195
+    twice = [r.sample_id for r in fit._drawn(num, 300, 0.65, 1, 2, True).collect()]
+    assert len(twice) == 195 > len(set(twice))
+    got = np.array([r.features for r in fit._permuted_rows(num, 300, 1, 1, False).collect()])
+    assert (np.sort(got, 0) == np.sort(x.T, 0)).all() and len({tuple(v) for v in got.tolist()} & {tuple(v) for v in x.T.tolist()}) < 30
+    again = np.array([r.features for r in fit._permuted_rows(num, 300, 1, 1, True).collect()])
+    assert again.shape == (300, 2) and 100 < len(np.unique(again[:, 0])) < 250
+
+
+def test_a_small_dictionary_grows_to_all_samples(spark):
+    t = np.arange(60) * np.pi / 30
+    x = 10 * np.stack([np.cos(t), np.sin(t)])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x.T)], "sample_id int, features array<double>")
+    assert pcha.distributed_fit(df, 4, 2, directions=3).sse < 1.02 * pcha.pcha(x, 4, seed=0).sse

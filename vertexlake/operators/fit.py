@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vertexlake.functions import blocks
+from vertexlake.functions import blocks, keyed, ranks
 from vertexlake.operators import geometry, pcha
 
 #: Numbers in a matrix that is sent to the tasks: 16 MB.
@@ -172,9 +172,87 @@ def fit_matrix(x: np.ndarray, k: int, method: str = "pcha", seed: int = 0, order
     return pcha.Fit(f.xc[:, o], None if f.s is None else f.s[o], None if f.c is None else f.c[:, o], f.sse, f.varexpl, f.rounds, f.converged)
 
 
-def _rows(method: str, k: int, replicate: int, f: pcha.Fit, x: np.ndarray | None, ratio: str, total_var: float = float("nan")) -> tuple[list, tuple]:
+def _large_fit(rows: DataFrame, k: int, dims: int, method: str, seed: int, order: str = "align", **options) -> pcha.Fit:
+    """One fit of a table in passes over it, archetypes in a fixed order; a method without such a form is refused."""
+    if method == "pcha":
+        f = pcha.distributed_fit(rows, k, dims, seed, **options)
+    elif method == "kmeans":
+        f = _large_kmeans(rows, k, seed, **options)
+    else:
+        raise ValueError(f"{method} has no distributed form; sketch the table first")
+    if f.xc.size and np.isfinite(f.xc).all():
+        f.xc = f.xc[:, geometry.order_of(f.xc, order)]
+    return f
+
+
+def _large_kmeans(rows: DataFrame, k: int, seed: int, iter_max: int = 10) -> pcha.Fit:
+    """`kmeans` of a table of any size."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = rows.select(array_to_vector("features").alias("features")).persist()
+    m = KMeans(k=k, maxIter=iter_max, seed=seed).fit(x)
+    n = x.count()
+    x.unpersist()
+    xc = np.array(m.clusterCenters(), float).T
+    within, total = float(m.summary.trainingCost), float(sum(r.data_var or 0.0 for r in data_variance(rows).collect())) * (n - 1) or 1.0
+    return pcha.Fit(xc, None, None, within, (total - within) / total, int(m.summary.numIter), xc.shape[1] == k)
+
+
+def _nearest(samples: DataFrame, xc: np.ndarray) -> DataFrame:
+    """(sample_id, weights): 1 for the centre that is nearest, 0 for the others."""
+
+    def run(batches):
+        for b in batches:
+            x = blocks.rows(b["features"], xc.shape[0])
+            own = ((x[:, :, None] - xc[None]) ** 2).sum(1).argmin(1) if len(b) else np.zeros(0, int)
+            yield pd.DataFrame({"sample_id": b["sample_id"], "weights": list(np.eye(xc.shape[1])[own])})
+
+    return samples.select("sample_id", "features").mapInPandas(run, f"sample_id {dict(samples.dtypes)['sample_id']}, weights array<double>")
+
+
+def _large_goodness(rows: DataFrame, xc: np.ndarray, ratio: str) -> tuple[float, float, float]:
+    """`goodness` of a table of any size."""
+    d, k = xc.shape
+    none = float("nan")
+    if not xc.size or not np.isfinite(xc).all():
+        return none, none, none
+    if ratio == "t_ratio" and k > 2 and 2 <= k - 1 <= 8 and d >= k - 1:
+        hv, av = geometry.table_hull(rows, k - 1)[0], geometry.simplex_volume(xc)
+        return hv, av, av / hv if hv and hv == hv else none
+    if ratio == "variance_ratio" and k > 1:
+        v = np.array([none if r.data_var is None else r.data_var for r in data_variance(rows).orderBy("pos").collect()])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return none, none, float(np.nanmean(xc.var(1, ddof=1) / v))
+    return none, none, none
+
+
+def _drawn(numbered: DataFrame, n: int, share: float, seed: int, replicate: int, replace: bool) -> DataFrame:
+    """round(n * share) rows of a table numbered from 1, with or without replacement."""
+    if not replace:
+        return resample(numbered, share, seed, replicate)
+    u = keyed.uniform(seed, "sample", F.lit(replicate), F.col("id"))
+    return numbered.sparkSession.range(int(np.round(n * share))).select((F.floor(u * n) + 1).alias("sample_id")).join(numbered, "sample_id")
+
+
+def _permuted_rows(numbered: DataFrame, n: int, seed: int, replicate: int, replace: bool) -> DataFrame:
+    """The table with each feature permuted by itself, or drawn anew with replacement."""
+    from vertexlake.operators.archetypes import permute_features
+
+    long = numbered.select("sample_id", F.posexplode("features").alias("feature", "value"))
+    if replace:
+        u = keyed.uniform(seed, "permute", F.lit(replicate), F.col("feature"), F.col("sample_id"))
+        at = long.select("sample_id", "feature", (F.floor(u * n) + 1).alias("from_"))
+        x = at.join(long.withColumnRenamed("sample_id", "from_"), ["from_", "feature"])
+    else:
+        x = permute_features(long, seed, replicate)
+    x = x.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("l"))
+    return x.select("sample_id", F.transform("l", lambda e: e["value"]).alias("features"))
+
+
+def _rows(method: str, k: int, replicate: int, f: pcha.Fit, x: np.ndarray | None, ratio: str, total_var: float = float("nan"), large: tuple[float, float, float] = (float("nan"),) * 3) -> tuple[list, tuple]:
     ok = bool(f.xc.size and np.isfinite(f.xc).all())
-    hv, av, t = goodness(x, f.xc, ratio) if ok and x is not None else (float("nan"),) * 3
+    hv, av, t = goodness(x, f.xc, ratio) if ok and x is not None else large
     arch = [(method, k, replicate, j + 1, f"archetype_{j + 1}", [float(v) for v in f.xc[:, j]]) for j in range(f.xc.shape[1])] if ok else []
     none = lambda v: None if v != v else float(v)
     return arch, (method, k, replicate, none(f.sse), none(f.varexpl), none(hv), none(av), none(t), none(total_var), f.rounds, f.converged and ok)
@@ -185,10 +263,10 @@ def fit_table(samples: DataFrame, k: int, method: str = "pcha", seed: int = 0, r
     spark = samples.sparkSession
     good, n, dims = whole_rows(samples)
     if strategy == "distributed" or strategy is None and n * dims > LOCAL:
-        f = pcha.distributed_fit(good, k, dims, seed, **options)
-        f.xc = f.xc[:, geometry.order_of(f.xc)] if np.isfinite(f.xc).all() else f.xc
-        arch, row = _rows(method, k, 0, f, None, "none")
-        return Fits(spark.createDataFrame(arch, ARCHETYPES), spark.createDataFrame([row], SUMMARY), pcha.weights(good, f.xc).withColumn("k", F.lit(k)))
+        f = _large_fit(good, k, dims, method, seed, **options)
+        arch, row = _rows(method, k, 0, f, None, "none", large=_large_goodness(good, f.xc, ratio))
+        own = pcha.weights(good, f.xc) if method == "pcha" else _nearest(good, f.xc)
+        return Fits(spark.createDataFrame(arch, ARCHETYPES), spark.createDataFrame([row], SUMMARY), own.withColumn("k", F.lit(k)))
     ids, x = local_matrix(good)
     f = fit_matrix(x, k, method, seed, **options)
     arch, row = _rows(method, k, 0, f, x, ratio)
@@ -219,14 +297,14 @@ def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None,
     spark = samples.sparkSession
     good, n, dims = whole_rows(samples)
     if n * dims > LOCAL:
-        if permute:
-            raise ValueError("permutation tests fit in memory: project or sketch the table first")
+        numbered = ranks.numbered(good, [F.col("sample_id"), F.col("features")]).select(F.col("rn").alias("sample_id"), "features")
         parts = []
         for k, r in tasks:
-            rows = pcha.keyed_share(good, share, seed, r) if share is not None and r else good
-            rows = rows.withColumn("features", F.slice("features", 1, max(1, k - 1))) if simplex else rows
-            f = pcha.distributed_fit(rows, k, max(1, k - 1) if simplex else dims, seed, **options)
-            parts.append(_rows(method, k, r, f, None, "none"))
+            rows = _permuted_rows(numbered, n, seed, r, replace) if permute else _drawn(numbered, n, share, seed, r, replace) if share is not None and r else numbered
+            rows = (rows.withColumn("features", F.slice("features", 1, max(1, k - 1))) if simplex else rows).persist()
+            f = _large_fit(rows, k, min(dims, max(1, k - 1)) if simplex else dims, method, seed + r, **options)
+            parts.append(_rows(method, k, r, f, None, "none", large=_large_goodness(rows, f.xc, ratio)))
+            rows.unpersist()
         return Fits(spark.createDataFrame([a for p, _ in parts for a in p], ARCHETYPES), spark.createDataFrame([s for _, s in parts], SUMMARY))
     matrix = spark.sparkContext.broadcast(local_matrix(good)[1])
     schema = f"{SUMMARY}, positions array<array<double>>"
@@ -345,8 +423,6 @@ def significance(samples: DataFrame, observed: Fits, n: int = 100, columns: tupl
 
 def resample(samples: DataFrame, share: float, seed: int = 235, replicate: int = 1) -> DataFrame:
     """round(n * share) samples (half to even) without replacement: those of the least keys."""
-    from vertexlake.functions import keyed, ranks
-
     x = samples.withColumn("key_", keyed.uniform(seed, "boot", F.lit(replicate), F.col("sample_id")))
     x = ranks.row_numbers(x, [], "key_", ["sample_id"], "rn_", total="n_")
     return x.filter(F.col("rn_") <= F.bround(F.col("n_") * share, 0)).drop("key_", "rn_", "n_")

@@ -184,7 +184,8 @@ def distributed_fit(samples: DataFrame, k: int, dims: int, seed: int = 0, conv:
     """Archetypes of (sample_id, features) of any number: one stateless pass over the table for each outer round.
 
     A pass solves each row's weights for the present archetypes and returns sums of fixed size for each partition; the
-    archetypes are then moved over a dictionary of extreme samples by those sums alone. Rows with a null entry are left out.
+    archetypes are then moved over a dictionary of extreme samples by those sums alone. When they rest, samples of the whole
+    table towards which the error still falls join the dictionary. Rows with a null entry are left out.
     """
     good = samples.filter((F.size("features") == dims) & ~F.exists("features", lambda x: x.isNull() | F.isnan(x))).select("features").persist()
     try:
@@ -223,8 +224,11 @@ def _distributed(good: DataFrame, k: int, dims: int, seed: int, conv: float, max
         xs = np.sum([np.array(v) for v in got["xs"]], 0).reshape(dims, k)
         sse, sst = float(got["sse"].sum()), float(got["sst"].sum()) or 1.0
         if old is not None and abs(old - sse) < conv * sse or sse < 1e-12 * sst:
-            done = True
-            break
+            new = np.zeros((0, dims)) if sse < 1e-12 * sst else _missing(good, d, xc, xc @ ss - xs, conv * sse)
+            if not len(new):
+                done = True
+                break
+            d, c = np.hstack([d, new.T]), np.vstack([c, np.zeros((len(new), k))])
         old = sse
         loss = lambda z: float(sst - 2 * (xs * (d @ z)).sum() + (((d @ z) @ ss) * (d @ z)).sum())  # noqa: B023, E731
         grad = lambda z: (d.T @ ((d @ z) @ ss - xs)) / sst  # noqa: B023, E731
@@ -232,6 +236,27 @@ def _distributed(good: DataFrame, k: int, dims: int, seed: int, conv: float, max
     return Fit(d @ c, None, c, sse, (sst - sse) / sst, rounds, done)
 
 
+def _missing(good: DataFrame, d: np.ndarray, xc: np.ndarray, slope: np.ndarray, least: float) -> np.ndarray:
+    """Samples outside the dictionary towards which the error still falls: for each archetype the one of steepest fall.
+
+    None if moving all archetypes towards them could not lower the error by `least`.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = blocks.rows(b["features"])
+            if len(b):
+                p = x @ slope
+                at = p.argmin(0)
+                yield pd.DataFrame({"q": np.arange(p.shape[1]), "v": p[at, np.arange(p.shape[1])], "x": [x[i].tolist() for i in at]})
+
+    best = good.mapInPandas(partial, "q int, v double, x array<double>").groupBy("q").agg(F.min(F.struct("v", "x")).alias("b")).select("q", "b.*").collect()
+    if 2 * sum(float(slope[:, r.q] @ xc[:, r.q]) - r.v for r in best) <= least:
+        return np.zeros((0, len(d)))
+    known = {tuple(v) for v in d.T.tolist()}
+    return np.array(sorted({tuple(r.x) for r in best} - known), float).reshape(-1, len(d))
+
+
 def weights(samples: DataFrame, xc: np.ndarray) -> DataFrame:
     """(sample_id, weights): each sample's simplex weights for the archetypes."""
 
