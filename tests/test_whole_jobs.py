@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import points
-from vertexlake.operators import fit, pcha
+from vertexlake.operators import fit, neighbours, pcha
 from vertexlake.plans import catalogue
 
 
@@ -76,3 +76,15 @@ def test_a_small_dictionary_grows_to_all_samples(spark):
     x = 10 * np.stack([np.cos(t), np.sin(t)])
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x.T)], "sample_id int, features array<double>")
     assert pcha.distributed_fit(df, 4, 2, directions=3).sse < 1.02 * pcha.pcha(x, 4, seed=0).sse
+
+
+@pytest.mark.parametrize("size", [neighbours.BLOCK, 300])
+def test_neighbours_among_many_copies_are_those_of_least_id(spark, monkeypatch, size):
+    monkeypatch.setattr(neighbours, "BLOCK", size)
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.tile(rng.normal(size=3) * 100, (200, 1)), rng.integers(0, 2, (200, 3)).astype(float)])[rng.permutation(400)]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "sample_id int, features array<double>")
+    got = {(r.sample_id, r.place): r.neighbour for r in neighbours.knn(df, 5).collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    want = np.lexsort((np.tile(np.arange(400), (400, 1)), d))[:, :5]
+    assert got == {(i, p + 1): int(want[i, p]) for i in range(400) for p in range(5)}

@@ -42,12 +42,18 @@ def knn(samples: DataFrame, k: int = 20, digits: int = 9) -> DataFrame:
                 for a in range(0, len(b), 500):
                     c = b.iloc[a : a + 500]
                     x = blocks.rows(c["features"], dims)
-                    m = min(len(ids), k + 32)
                     d2 = (x * x).sum(1)[:, None] + sq[None] - 2 * x @ y.T
-                    near = np.argpartition(d2, m - 1, 1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(x), 1))
-                    d = np.round(np.sqrt(((x[:, None] - y[near]) ** 2).sum(2)), digits)
-                    order = np.lexsort((near, d))[:, :k]
-                    near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+                    m = min(len(ids), k)
+                    # The farthest of any m, by exact distance, bounds the m-th distance; all within it, with room for rounding, are compared.
+                    some = np.argpartition(d2, m - 1, 1)[:, :m]
+                    far = np.sqrt(((x[:, None] - y[some]) ** 2).sum(2)).max(1) + 10.0**-digits
+                    within = d2 <= (far * far * (1 + 1e-12) + 1e-15 * (dims + 8) * ((x * x).sum(1) + sq.max()))[:, None]
+                    near, d = np.empty((len(x), m), int), np.empty((len(x), m))
+                    for i, row in enumerate(within):
+                        j = np.flatnonzero(row)
+                        e = np.round(np.sqrt(((x[i] - y[j]) ** 2).sum(1)), digits)
+                        order = np.lexsort((j, e))[:m]
+                        near[i], d[i] = j[order], e[order]
                     yield pd.DataFrame({"sample_id": np.repeat(c["sample_id"].to_numpy(), near.shape[1]), "neighbour": ids[near.ravel()], "dist": d.ravel()})
 
         if len(ids):
