@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -88,3 +89,16 @@ def test_neighbours_among_many_copies_are_those_of_least_id(spark, monkeypatch,
     d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
     want = np.lexsort((np.tile(np.arange(400), (400, 1)), d))[:, :5]
     assert got == {(i, p + 1): int(want[i, p]) for i in range(400) for p in range(5)}
+
+
+def test_more_than_fifty_kinds_of_events_all_count(spark, tmp_path):
+    rows = [(i, i % 20, f"kind {i % 60:02d}") for i in range(600)] + [(600 + i, i, f"kind {50 + i % 10:02d}") for i in range(20)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("wilcox_ties_cnt", "median_diff_cnt", "permute_feature"):
+        want = con.execute(catalogue.oracle_sql()[name]).df()
+        got = catalogue.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+        key = [c for c in want.columns if want[c].dtype.kind not in "f"]
+        pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True), check_dtype=False, atol=2e-6)
+    assert catalogue.queries()["poisson_map"](spark, str(tmp_path)).select("feature").distinct().count() == 60

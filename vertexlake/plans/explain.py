@@ -95,10 +95,10 @@ def wilcox_emb(spark: SparkSession, d: str) -> DataFrame:
 def _cnt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All (user, event type) counts with zeros, and the tenth of users nearest the first user's counts."""
     c = matrix.event_counts(spark, d)
-    kinds = [r.feature for r in c.select("feature").distinct().orderBy("feature").limit(50).collect()]  # the fixed kinds of events
-    x = matrix.from_long(c, kinds).persist()
+    long = matrix.zero_filled(c).persist()
+    x = long.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("l")).select("sample_id", F.transform("l", lambda e: e["value"]).alias("features"))
     first = x.orderBy("sample_id").limit(1).select(F.lit("archetype_1").alias("arch"), F.col("features").alias("position"))
-    return matrix.to_long(x, kinds), bins.bins_by_share(distance.arch_dist(x, first, 6))
+    return long, bins.bins_by_share(distance.arch_dist(x, first, 6))
 
 
 _CNT_BINS = """first_ as (select feature, value from cnt_long where sample_id = (select min(sample_id) from cnt_long)),

@@ -80,8 +80,7 @@ def pinv_activity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def poisson_map(spark: SparkSession, d: str) -> DataFrame:
     c = matrix.event_counts(spark, d)
-    kinds = [r.feature for r in c.select("feature").distinct().orderBy("feature").limit(50).collect()]
-    long = matrix.to_long(matrix.from_long(c, kinds), kinds)
+    long = matrix.zero_filled(c)
     cov = long.select("sample_id").distinct().withColumn("x", F.array((F.col("sample_id") % 2).cast("double")))
     return models.poisson_regression(long, cov)
 

@@ -134,8 +134,7 @@ b as (select feature, value, row_number() over (partition by feature order by {_
 select sample_id, feature, value from a join b using (feature, rn)""")
 def permute_feature(spark: SparkSession, d: str) -> DataFrame:
     c = matrix.event_counts(spark, d)
-    kinds = [r.feature for r in c.select("feature").distinct().orderBy("feature").limit(50).collect()]
-    return at.permute_features(matrix.to_long(matrix.from_long(c, kinds), kinds), seed=9)
+    return at.permute_features(matrix.zero_filled(c), seed=9)
 
 
 _RAND = """rand as (select o_orderpriority as var_name, (o_custkey % 3)::int as k, o_orderkey as repl, o_totalprice as var_rand from orders where o_orderpriority <> '5-LOW'),

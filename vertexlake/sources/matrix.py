@@ -30,6 +30,15 @@ def from_long(df: DataFrame, features: list[str], fill: float = 0.0) -> DataFram
     return wide.select("sample_id", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("features"))
 
 
+def zero_filled(df: DataFrame) -> DataFrame:
+    """A long table with a row for every sample and every distinct feature, however many; absent entries are 0, repeated ones add up."""
+    x = df.groupBy("sample_id", "feature").agg(F.sum("value").alias("value"))
+    every = x.select("sample_id").distinct().crossJoin(x.select("feature").distinct())
+    own = x.withColumnsRenamed({"sample_id": "s_", "feature": "f_", "value": "v_"})
+    both = every.join(own, F.col("sample_id").eqNullSafe(F.col("s_")) & (F.col("feature") == F.col("f_")), "left")
+    return both.select("sample_id", "feature", F.coalesce("v_", F.lit(0.0)).cast("double").alias("value"))
+
+
 def assay(df: DataFrame, name: str) -> DataFrame:
     """One assay of a container kept as (sample_id, feature, assay, value)."""
     return df.filter(F.col("assay") == name).select("sample_id", "feature", "value")
