@@ -102,3 +102,15 @@ def test_more_than_fifty_kinds_of_events_all_count(spark, tmp_path):
         key = [c for c in want.columns if want[c].dtype.kind not in "f"]
         pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True), check_dtype=False, atol=2e-6)
     assert catalogue.queries()["poisson_map"](spark, str(tmp_path)).select("feature").distinct().count() == 60
+
+
+def test_fit_queries_read_the_tables_and_louvain_names_every_sample(spark, tmp_path):
+    from datetime import datetime
+
+    x = np.random.default_rng(2).normal(size=(700, 8))
+    rows = [(i, [float(a) for a in v], datetime(2026, 1, 1)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "sample_id bigint, features array<double>, loaded_at timestamp").write.parquet(str(tmp_path / "data_matrix.parquet"))
+    q = catalogue.queries()
+    assert sorted(r.sample_id for r in q["louvain"](spark, str(tmp_path)).collect()) == list(range(700))
+    assert max(r.varexpl for r in q["k_sweep"](spark, str(tmp_path)).collect()) < 0.9  # noise has no triangle
+    assert q["bootstrap_fit"](spark, str(tmp_path)).count() == 3

@@ -278,6 +278,23 @@ def fit_table(samples: DataFrame, k: int, method: str = "pcha", seed: int = 0, r
     return out
 
 
+def carry_groups(samples: DataFrame, members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(sample_id, arch_id) of every whole sample: the group, by (sample_id, weights), of its nearest member; ties by id. The members are few."""
+    near = members.select("sample_id", "features").join(weights.select("sample_id", "weights"), "sample_id").toPandas().sort_values("sample_id", ignore_index=True)
+    good, _, dims = whole_rows(samples)
+    y, group = blocks.rows(near["features"], dims), np.array([int(np.argmax(w)) + 1 for w in near["weights"]], int)
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, len(b), 500):
+                c = b.iloc[a : a + 500]
+                x = blocks.rows(c["features"], dims)
+                yield pd.DataFrame({"sample_id": c["sample_id"], "arch_id": group[((x[:, None] - y[None]) ** 2).sum(2).argmin(1)]})
+
+    schema = f"sample_id {dict(good.dtypes)['sample_id']}, arch_id int"
+    return good.mapInPandas(run, schema) if len(y) else good.select("sample_id", F.lit(1).alias("arch_id")).limit(0)
+
+
 def k_sweep(samples: DataFrame, ks: list[int], simplex: bool = False, method: str = "pcha", seed: int = 345, ratio: str = "t_ratio", **options) -> Fits:
     """A fit for each k, each in a task; with `simplex` on the first k - 1 dimensions."""
     return _many(samples, [(k, 0) for k in ks], None, False, simplex, method, seed, ratio, False, options)

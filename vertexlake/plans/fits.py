@@ -51,18 +51,19 @@ def kmeans_emb(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return fit.k_sweep(_triangle(spark), [2, 3, 4], ratio="variance_ratio").summary
+    return fit.k_sweep(_samples(spark, d), [2, 3, 4], ratio="variance_ratio").summary
 
 
 @query
 def bootstrap_fit(spark: SparkSession, d: str) -> DataFrame:
-    b = fit.bootstrap(_triangle(spark), [3], n=8)
-    return fit.position_variance(b.archetypes, _triangle(spark))[0]
+    x = _samples(spark, d)
+    b = fit.bootstrap(x, [3], n=8)
+    return fit.position_variance(b.archetypes, x)[0]
 
 
 @query
 def randomise_fit(spark: SparkSession, d: str) -> DataFrame:
-    x = matrix.generate_data(spark, TRIANGLE, 1000, jitter=0.04, size=0.99)
+    x = _samples(spark, d)
     return fit.significance(x, fit.k_sweep(x, [3]), n=16)[1]
 
 
@@ -118,8 +119,10 @@ def sketch_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def louvain(spark: SparkSession, d: str) -> DataFrame:
-    x = sketch.sketch(_samples(spark, d), 500)
-    return fit.fit_table(x, 6, method="louvain", ratio="none").summary
+    """The community of every sample: those of a sketch, carried to all by the nearest sample of the sketch."""
+    samples = _samples(spark, d)
+    x = sketch.sketch(samples, 500).persist()
+    return fit.carry_groups(samples, x, fit.fit_table(x, 6, method="louvain", ratio="none").weights)
 
 
 @query
