@@ -272,9 +272,9 @@ def fit_table(samples: DataFrame, k: int, method: str = "pcha", seed: int = 0, r
     arch, row = _rows(method, k, 0, f, x, ratio)
     out = Fits(spark.createDataFrame(arch, ARCHETYPES), spark.createDataFrame([row], SUMMARY))
     if f.s is not None:
-        pdf = pd.DataFrame({"sample_id": ids, "k": k, "weights": list(f.s.T)})
+        pdf = pd.DataFrame({"sample_id": ids, "k": k, "weights": f.s.T.tolist()})
         out.weights = spark.createDataFrame(pdf)
-        out.coeffs = spark.createDataFrame(pd.DataFrame({"sample_id": ids, "k": k, "coef": list(f.c)}))
+        out.coeffs = spark.createDataFrame(pd.DataFrame({"sample_id": ids, "k": k, "coef": f.c.tolist()}))
     return out
 
 
