@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vertexlake.functions import keyed, names, ranks, vectors
-from vertexlake.functions.doubles import code_of, value_of
+from vertexlake.functions.doubles import code_of, signed_code, value_of
 
 
 def test_codes_are_the_bits_and_keep_the_order(spark):
@@ -21,6 +21,23 @@ def test_codes_are_the_bits_and_keep_the_order(spark):
             assert r.c == struct.unpack("<q", struct.pack("<d", x + 0.0))[0] and r.back == x
 
 
+def test_codes_at_every_power_of_two_and_of_random_bits(spark):
+    bits = np.array([(e << 52) + d for e in range(2047) for d in (0, 1, (1 << 52) - 1)] + np.random.default_rng(5).integers(0, 0x7FEFFFFFFFFFFFFF, 5000).tolist(), np.int64)
+    df = spark.createDataFrame(list(zip(bits.tolist(), bits.view(np.float64).tolist())), "b bigint, x double")
+    c = df.select("b", "x", code_of(F.col("x")).alias("c")).withColumn("v", value_of(F.col("c")))
+    assert c.filter("b <> c or v <> x").count() == 0
+
+
+def test_signed_codes_keep_the_order_and_let_filters_through(spark, tmp_path):
+    xs = [-math.inf, -1e308, -1.5, -5e-324, 0.0, 5e-324, 1.0, 1.7976931348623157e308, math.inf]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.c for r in df.select("x", signed_code(F.col("x")).alias("c")).orderBy("x").collect()]
+    assert got == sorted(set(got))
+    df.write.parquet(str(tmp_path / "t"))
+    plan = spark.read.parquet(str(tmp_path / "t")).select("x", code_of(F.col("x")).alias("c")).filter("x > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,3.0)" in plan
+
+
 def test_row_numbers_and_value_ranks_match_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500) / 4))]
