@@ -89,3 +89,46 @@ def test_limits_and_rates(spark):
     rate = {r.source: r for r in T.rates(judged).collect()}
     assert rate["store"].n == 81 and rate["free"].n_truncated == 0 and rate[None].n == 1
     assert T.judge(df.limit(0))[0].count() == 0
+
+
+def stored(n, seed, tail):
+    """A message of exactly n characters that ends with `tail`."""
+    rng = random.Random(seed)
+    body = HEAD + f"\nSentence {rng.randrange(10**6)} says where it is.\n"
+    fill = n - len(body) - len(tail) - 3
+    return body + "lid " * (fill // 4) + "x" * (fill % 4) + ".\n\n" + tail
+
+
+def test_the_limit_decides_endings_that_can_be_either(spark):
+    tails = [f"Walk {w}" for w in "abcdefghijklmnopqrst"]
+    rows = [(i, "store", stored(700, i, t)) for i, t in enumerate(tails)]
+    assert {len(t) for _, _, t in rows} == {700} and all(T.ending(t)[0] == "ask" for _, _, t in rows)
+    rows += [(100 + i, "free", stored(650 + 11 * i, i, t)) for i, t in enumerate(tails)]
+    judged, limits = T.judge(spark.createDataFrame(rows, "doc_id int, source string, text string"))
+    assert [(r.source, r.measure, r.length) for r in limits.collect()] == [("store", "chars", 700)]
+    # The same endings: cut where the source has a limit and the text is at it, whole where not.
+    assert {r.doc_id for r in judged.filter("truncated").collect()} == set(range(20))
+
+
+def test_a_limit_on_escaped_length_counts(spark):
+    def escaped(i):
+        s = HEAD + "\n" + "a & b <c> \"d\" " * (i % 7) + f"Line {i} of it. "
+        while T.lengths(s)[MEASURE] < 900:
+            s += "x"
+        return s
+
+    MEASURE = T.MEASURES.index("html_chars")
+    rows = [(i, "web", escaped(i)) for i in range(60)] + [(100 + i, "web", message(i, 300 + 17 * i)) for i in range(40)]
+    judged, limits = T.judge(spark.createDataFrame(rows, "doc_id int, source string, text string"))
+    assert [(r.measure, r.length) for r in limits.collect()] == [("html_chars", 900)]
+    assert {r.doc_id for r in judged.filter("at_limit").collect()} >= set(range(60))
+
+
+def test_a_remark_is_judged_by_texts_that_share_its_words_only(spark):
+    alone = [(1, "a", HEAD + "\nHello.\n\nGreat work everyone")]
+    other = [(2, "b", HEAD + "\nWe moved the pump. Please send the list to me. There is a lid on it.")]
+    opens = [(3, "c", HEAD + "\nWe moved the pump. Great work is never done by one alone.")]
+    ask = lambda rows: {r.doc_id for r in T.judge(spark.createDataFrame(rows, "doc_id int, source string, text string"))[0].filter("truncated").collect()}
+    assert ask(alone) == set() and ask(alone + other) == set() and ask(alone + opens) == {1}
+    said = [(10 + i, "d", HEAD + f"\nHello {i}.\n\nGreat work everyone\n\nYours,\nAnna") for i in range(2)]
+    assert ask(alone + opens + said) == set()

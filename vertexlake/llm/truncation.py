@@ -3,15 +3,19 @@
 Lengths: a text that was stored in a field of limited size has that size as its length - under the encoding and the
 escaping in use when it was stored. So each text's length is computed again in code points, UTF-8 bytes, UTF-16 units
 and Latin-1 bytes, as stored and with all line ends as LF or as CRLF, bare, with HTML entities and with JSON escapes.
-Texts are counted by source, measure and length; a length that far more texts have than have the lengths around it
-is a hidden limit of that source (`limits`).
+Distinct texts are counted by source, measure and length; a length that far more texts have than have the lengths around
+it is a candidate. A text at several candidates is explained by the one that stands out most, and a candidate that still
+stands out by the texts it alone explains is a hidden limit of that source (`limits`), whatever its measure.
 
-Endings: the end of a text is then looked at the way its message is built. A multipart message is complete with its last
+Endings: the end of a text is looked at the way its message is built. A multipart message is complete with its last
 boundary, an HTML page with its last tag, encoded parts with whole groups. Of plain text the last line decides: a sentence mark, a name below a closing or
-a signature line, a link, a table row, an emoji or a short remark is an end; words that break off are not. A
-remark without a full stop that opens like a sentence is told from a broken one by whether the same
-line stands as a whole paragraph before the end of other texts. A text that is exactly as long as a limit gets no
-benefit of the doubt where an ending can be either.
+a signature line, a link, a table row or an emoji is an end; running text that breaks off is not. Where an ending can be
+either, the limit decides: a text at a limit was cut, another one was not.
+
+A short line without a full stop can be a remark or the opening of a sentence. It is a remark if it stands as a whole
+paragraph before the end of another text; else a text at a limit was cut in it, and one that is not at a limit was cut (in
+transfer) only if running text elsewhere opens a sentence with the same two words. Without any such trace it is a remark, so
+no verdict depends on texts that share neither words nor source with it.
 
 Cases: null, empty and blank texts are never found; a null source is a source of its own; texts of one line, without
 headers, and very long texts are judged by the same rules; ids may repeat (each row is judged by itself, a repeated id with
@@ -26,10 +30,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexlake.session import cut
+from vertexlake.session import attach, broadcast_if_small, cut
 
 #: A limit is held by at least so many texts of its source, and by so many times the mean of the 20 lengths around it.
 LEAST, TIMES = 4, 8
@@ -41,8 +45,7 @@ MEASURES = ("chars", "utf8", "utf16", "latin1", "lf_chars", "lf_utf8", "crlf_cha
 _TERM = re.compile(r"""[.!?。！？…‽][)\]"'”»’）」]*$""")
 _QUOTE = re.compile(r"^(?:> ?)+")
 _LINK = re.compile(r"(?:https?|ftp)://\S*$")
-_CODE = re.compile(r"^(?:def|class|if|for|while|function|public|static)\b.*[:{]$")
-_STATEMENT = re.compile(r"return(?: [\w.]+(?: [-+*/] [\w.]+)?)?|[\w.]+\(.*\);?|.*[;})\]]")
+_BLOCK = re.compile(r"\(.*\).*[:{]$")
 _NAME = re.compile(r"[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){0,3}")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]+)"|([^\s;"]+))', re.I)
 _HEADER = re.compile(r"\A(?:From \S+ .*\n|>?[A-Za-z][\w-]*:.*\n?)(?:[ \t].*\n?)*(?:[A-Za-z][\w-]*:|\Z)")
@@ -87,9 +90,7 @@ def _plain_end(body: str, writer: str) -> tuple[str, str]:
     para = _paragraph(lines, len(lines))
     above = lines[len(lines) - len(para) - 1].strip() if len(para) < len(lines) else None
     if above == "--":  # a signature of a few short lines
-        known = len(para) > 1 or not writer or not (writer.startswith(last) and writer != last)
-        if len(para) <= 5 and max(map(len, para)) <= 80:
-            return ("whole" if known and not _broken_detail(last, para) else "cut"), ""
+        return ("edge" if _open_detail(last) or len(para) == 1 and writer != last and writer.startswith(last) else "whole"), ""
     if _LINK.search(last):
         tail = last[last.rindex("://") + 3 :]
         if _LINK.fullmatch(last) and (len(para) == 1 or not _sentence(para[:-1])):
@@ -100,8 +101,8 @@ def _plain_end(body: str, writer: str) -> tuple[str, str]:
         same = len(rows) < 2 or (last.count("\t") == rows[-2].count("\t") and len(last.rsplit("\t", 1)[1]) >= len(rows[-2].rsplit("\t", 1)[1]) - (not last[-1].isdigit()))
         return ("whole" if same else "edge"), ""
     raw = _QUOTE.sub("", body.rstrip().split("\n")[-1])
-    if raw[:1] in " \t" and len(para) > 1 and _CODE.search(para[0]):  # an indented block of a program
-        return ("whole" if _STATEMENT.fullmatch(last) else "edge"), ""
+    if raw[:1] in " \t" and len(para) > 1 and _BLOCK.search(para[0]):  # an indented block
+        return ("whole" if len(last.split()) <= 4 or last.endswith((";", ")", "}", "]")) else "edge"), ""
     if re.fullmatch(r"[*\-•+] .{1,60}|\d+[.)] .{1,60}", last) and not _sentence([last[2:].strip()]):
         return "whole", ""
     if len(para) == 2 and len(para[0]) <= 40 and _closing(para[0]) and _NAME.fullmatch(last) and len(last.split()) <= 2:
@@ -110,12 +111,10 @@ def _plain_end(body: str, writer: str) -> tuple[str, str]:
     if last.endswith((")", "]", "}", "*", "_", "=", "-")) and len(para) == 1:
         return "whole", ""
     if len(para) == 1 and len(last.split()) <= REMARK_WORDS + 2:
-        if last.startswith(("/", "-", "~", "P.S.", "PS")) or (last[0].islower() and last[0].isascii()):
-            return "whole", ""
-        if not re.search(r"[^\W\d_]", last):
+        if last.startswith(("/", "-", "~")) or (last[0].islower() and last[0].isascii()) or not re.search(r"[^\W\d_]", last):
             return "whole", ""
         if last.endswith((",", ":")):
-            return ("cut" if len(last.split()) > 4 else "edge"), ""
+            return ("edge" if len(last.split()) <= 4 and _closing(last.replace(":", ",")) else "cut"), ""
         if len(last.split()) <= REMARK_WORDS and last[0].isascii():
             return "ask", last
     return "cut", ""
@@ -131,14 +130,9 @@ def _sentence(para: list[str]) -> bool:
     return len(" ".join(para).split()) > 4
 
 
-def _broken_detail(last: str, para: list[str]) -> bool:
-    """Whether the last line of a signature breaks off: a link without a path, a number without its last digits, brackets left open."""
-    if last.count("(") != last.count(")") or last.endswith(("(", "+", ",", "/", ":")):
-        return True
-    if last.startswith("http"):
-        return "/" not in last.split("://")[-1]
-    digits = re.fullmatch(r"\+?[\d() -]+", last)
-    return bool(digits) and len(re.sub(r"\D", "", last)) < 7
+def _open_detail(last: str) -> bool:
+    """Whether a line of a signature is left open: a bracket without its mate, or a mark that joins."""
+    return last.count("(") != last.count(")") or last.endswith(("(", "+", ",", "/", ":"))
 
 
 def _unfold(head: str) -> str:
@@ -215,55 +209,94 @@ def _remarks(s: str) -> list[str]:
     return out
 
 
-_EXAMINED = "doc_id bigint, source string, lengths array<int>, verdict string, line string, remarks array<string>"
+_OPENING = re.compile(r"""[.!?…]["'”»)]?(?: +|\n)(?:> ?)*([^\W\d_>][^\s>]*)[ \n]+(?:> ?)*([^\s>]+)""")
+
+
+_RUNNING = re.compile(r"\n(?:> ?)*\n(?:> ?)*([^\W\d_>][^\s>]*) ([^\s>]+)(?: [^\s>]+){6}")
+
+
+def _openings(s: str) -> list[str]:
+    """The first word, and the first two, of sentences that follow another one, and of paragraphs that begin with more words than a remark has."""
+    u = s.replace("\r\n", "\n")
+    found = {*_OPENING.findall(u), *_RUNNING.findall(u)}
+    return sorted({a for a, _ in found} | {f"{a} {b}" for a, b in found})
+
+
+def opening_of(line: str) -> str | None:
+    """The words of a line by which it is looked for among the openings: the first two unless the second, which may be broken, is its last."""
+    w = line.split()
+    return None if not w else w[0] if len(w) <= 2 else f"{w[0]} {w[1]}"
+
+
+_EXAMINED = "doc_id bigint, source string, same bigint, lengths array<int>, verdict string, line string, opening string, remarks array<string>, openings array<string>"
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+_NAMES = [x.split(" ")[0] for x in _EXAMINED.split(", ")]
 
 
 def examine(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, lengths, verdict, line, remarks) of every text that is neither null nor blank."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(id_).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text_"))
+    """(doc_id, source, same, lengths, verdict, line, opening, remarks, openings) of every text that is neither null nor blank; `same` is equal for equal texts."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(id_).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("same"), F.col(text).alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, src, s in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), b.column("text_").to_pylist()):
+            out: list[list] = [[] for _ in _TYPES]
+            for i, src, same, s in zip(*[b.column(c).to_pylist() for c in ("doc_id", "source", "same", "text_")]):
                 if not s.strip():
                     continue
-                for to, v in zip(out, (i, src, lengths(s), *ending(s), _remarks(s))):
+                verdict, line = ending(s)
+                for to, v in zip(out, (i, src, same, lengths(s), verdict, line, opening_of(line), _remarks(s), _openings(s))):
                     to.append(v)
-            types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["doc_id", "source", "lengths", "verdict", "line", "remarks"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _TYPES)], _NAMES)
 
     return rows.mapInArrow(run, _EXAMINED)
 
 
 def limits(examined: DataFrame) -> DataFrame:
-    """(source, measure, length, n, around): the hidden limits of each source."""
-    each = F.explode(F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lengths").alias("length")))
-    n = examined.select("source", each.alias("x")).groupBy("source", "x.measure", "x.length").agg(F.count("*").alias("n"))
+    """(source, measure, length, n, around, own): the hidden limits of each source; a null source is one.
+
+    n counts the distinct texts of that length, around the mean of the 20 lengths around it, own the texts that no
+    limit which stands out more explains.
+    """
+    place = F.posexplode("lengths").alias("m", "length")
+    each = examined.groupBy("source", "same").agg(F.min("lengths").alias("lengths")).withColumn("source_", F.coalesce("source", F.lit("\x01"))).select("source_", "same", place)
+    n = each.groupBy("source_", "m", "length").agg(F.count("*").alias("n"))
     # The counts of a source and measure: as many rows as there are distinct lengths.
-    w = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-10, 10)
+    w = Window.partitionBy("source_", "m").orderBy("length").rangeBetween(-10, 10)
     n = n.withColumn("around", (F.sum("n").over(w) - F.col("n")) / 20)
-    return n.filter((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("around") + LEAST))
+    peaks = cut(n.filter(_stands_out(F.col("n"))))
+    at = attach(each, peaks, ["source_", "m", "length"], ["same"])
+    first = F.max_by(F.struct("m", "length"), F.struct(F.col("n") - F.col("around"), -F.col("m"))).alias("p")
+    own = at.groupBy("source_", "same").agg(first).groupBy("source_", "p.m", "p.length").agg(F.count("*").alias("own"))
+    found = peaks.join(own, ["source_", "m", "length"]).filter(_stands_out(F.col("own")))
+    return found.select(F.nullif("source_", F.lit("\x01")).alias("source"), F.array(*map(F.lit, MEASURES))[F.col("m")].alias("measure"), "length", "n", "around", "own")
+
+
+def _stands_out(n: Column) -> Column:
+    return (n >= LEAST) & (n > TIMES * F.col("around") + LEAST)
 
 
 def judge(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, at_limit, verdict, truncated) of every text that is neither null nor blank, and the limits."""
     x = cut(examine(df, id_, text, source))
     found = cut(limits(x))
-    reach = found.filter(F.col("measure").isin("chars", "utf8", "utf16", "latin1", "lf_chars", "lf_utf8", "crlf_chars", "crlf_utf8"))
     # A byte limit that falls inside a character leaves up to three bytes less.
-    reach = reach.withColumn("length", F.explode(F.when(F.col("measure").endswith("utf8"), F.sequence(F.col("length") - 3, F.col("length"))).otherwise(F.array("length"))))
-    reach = reach.select("source", "measure", F.col("length").cast("int").alias("length")).distinct()
-    measured = x.select("doc_id", F.coalesce("source", F.lit("\x01")).alias("source"), F.explode(F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lengths").alias("length"))).alias("x"))
-    hit = measured.select("doc_id", "source", "x.measure", "x.length").join(F.broadcast(reach.withColumn("source", F.coalesce("source", F.lit("\x01")))), ["source", "measure", "length"], "left_semi").select("doc_id").distinct()
-    known = x.select(F.explode("remarks").alias("line")).groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line", F.lit(True).alias("remark"))
-    y = x.select("doc_id", "source", "verdict", "line").join(hit.withColumn("at", F.lit(True)), "doc_id", "left").withColumn("at_limit", F.coalesce("at", F.lit(False)))
-    asked = y.filter("verdict = 'ask'").join(known, "line", "left")
-    said = F.col("verdict")
-    y = y.filter("verdict <> 'ask'").withColumn("truncated", (said == "cut") | ((said == "edge") & F.col("at_limit"))).unionByName(
-        asked.withColumn("truncated", F.col("remark").isNull()).drop("remark")
-    )
-    return y.select("doc_id", "source", "at_limit", "verdict", "truncated"), found
+    reach = found.withColumn("length", F.explode(F.when(F.col("measure").endswith("utf8"), F.sequence(F.col("length") - 3, F.col("length"))).otherwise(F.array("length"))))
+    reach = reach.select(F.coalesce("source", F.lit("\x01")).alias("source_"), (F.array_position(F.array(*map(F.lit, MEASURES)), F.col("measure")) - 1).cast("int").alias("m"), F.col("length").cast("int").alias("length")).distinct()
+    reach = reach.groupBy("source_").agg(F.collect_set(F.struct("m", "length")).alias("ends"))  # a source's limits: a few
+    y = x.select("doc_id", "source", "lengths", "verdict", "line", "opening", F.coalesce("source", F.lit("\x01")).alias("source_"))
+    y = attach(y, reach, ["source_"], ["doc_id"], how="left").withColumn("at_limit", F.coalesce(F.exists("ends", lambda e: F.col("lengths")[e["m"]] == e["length"]), F.lit(False)))
+    y = y.select("doc_id", "source", "at_limit", "verdict", "line", "opening")
+    asked = cut(y.filter("verdict = 'ask'"))
+    lines, openings = (asked.select(c).filter(F.col(c).isNotNull()).distinct() for c in ("line", "opening"))
+    known = broadcast_if_small(lines)[0]
+    known = x.select(F.explode("remarks").alias("line")).join(known, "line").groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line", F.lit(True).alias("remark"))
+    opens = broadcast_if_small(openings)[0]
+    opens = x.select(F.explode("openings").alias("opening")).join(opens, "opening").distinct().withColumn("opens", F.lit(True))
+    asked = attach(attach(asked, known, ["line"], ["doc_id"], how="left"), opens, ["opening"], ["doc_id"], how="left")
+    asked = asked.withColumn("truncated", F.col("remark").isNull() & (F.col("at_limit") | F.col("opens").isNotNull()))
+    sure = y.filter("verdict <> 'ask'").withColumn("truncated", (F.col("verdict") == "cut") | ((F.col("verdict") == "edge") & F.col("at_limit")))
+    out = sure.unionByName(asked.select(*sure.columns))
+    return out.select("doc_id", "source", "at_limit", "verdict", "truncated"), found
 
 
 def rates(judged: DataFrame) -> DataFrame:
