@@ -3,7 +3,7 @@ import pytest
 
 from vertexlake.llm import queries
 
-TABLES = ["data_attr", "rank_test", "data_matrix", "pch_fit", "annot_dt"]
+TABLES = ["data_attr", "rank_test", "data_matrix", "pch_fit", "annot_dt", "mix_targets", "documents"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

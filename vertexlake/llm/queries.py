@@ -117,6 +117,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[2]
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself: the pieces of messages in each slot."""
+    return mixing.mixture(*_mix(spark, d))
+
+
+def p7_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The schedule of the targets alone, in 4096 slots."""
+    return mixing.slots(mixing._targets(_table(spark, d, "mix_targets")), 4096)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judge(_table(spark, d, "documents"))[0].filter("truncated").select("doc_id").distinct()
 
@@ -171,6 +181,10 @@ reach as (select space, a, b from links union select r.space, r.a, l.b from reac
 select least(a, min(b)) as cluster_key, a as member_key from reach group by space, a having min(b) < a""",
         "p4_found": f"with {_TERMS} select field, value_norm from counted where mark is not null",
         "p4_counts": f"with {_TERMS} select * from counted",
+        "p7_slots": """with t as (select source, sum(target_share) as share from mix_targets where source is not null group by 1 having sum(target_share) > 0),
+c as (select source, sum(share) over (order by source rows unbounded preceding) as z, share, sum(share) over () as total from t),
+s as (select i as slot, list_sum(list_transform(range(0, 40), lambda b: ((i >> b) & 1) / (1::bigint << (b + 1))::double)) as u from range(0, 4096) r(i))
+select slot, source, row_number() over (partition by source order by slot) - 1 as rank from s join c on u >= (z - share) / total and u < z / total""",
         "p5_found": f"""with {_LATEST} select a.key as sample_id from latest a
   where not exists (select 1 from latest b where a.key <> b.key and list_distance(a.v, b.v) <= 10)""",
     }
