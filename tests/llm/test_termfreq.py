@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from vertexlake.llm.termfreq import frequencies
 
 
@@ -42,3 +44,22 @@ def test_text_ids(spark):
     df = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", "a")], "id string, alias string")
     r = frequencies(df, "id", ["alias"]).first()
     assert (r.n_occurrences, r.n_records) == (3, 2)
+
+
+def test_text_ids_are_kept_and_null_ids_are_records_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (None, "a"), ("", "a"), ("x", "a,a"), ("x", "b"), ("y", "b")], "id string, v string")
+    got = {r.value_norm: (r.n_occurrences, r.n_records) for r in frequencies(df, "id", ["v"]).collect()}
+    assert got == {"A": (6, 5), "B": (2, 2)}
+    marks = {r.value_norm: r.mark for r in frequencies(df, "id", ["v"], min_records=1, max_share=0.5).collect()}
+    assert marks == {"A": "common", "B": None}  # 5 and 2 of 6 records
+
+
+def test_counts_do_not_depend_on_batches_or_salts(spark):
+    df = spark.range(3000).select((F.col("id") % 700).cast("string").alias("id"), F.concat_ws(";", F.concat(F.lit("v"), F.col("id") % 3), F.lit("hot"), F.lit("hot")).alias("v"))
+    want = None
+    for batch, salts in ((10_000, 16), (7, 1), (64, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(r.value_norm, r.n_occurrences, r.n_records) for r in frequencies(df, "id", ["v"], salts=salts).collect()}
+        want = want or got
+        assert got == want and ("HOT", 6000, 700) in got
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
