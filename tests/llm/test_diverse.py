@@ -12,7 +12,7 @@ def test_greedy_is_determinant_greedy():
     rng = np.random.default_rng(1)
     x = np.unique(rng.uniform(0, 4, (40, 2)), axis=0)
     k = kernel(x, 3.0)
-    at, gains = diverse.greedy(x, np.arange(len(x)), 12, 3.0, False)
+    at, gains = diverse.greedy(x, np.arange(len(x)), 12, 3.0)
     chosen = []
     for j, g in zip(at, gains):
         base = np.linalg.det(k[np.ix_(chosen, chosen)]) if chosen else 1.0
@@ -60,3 +60,42 @@ def test_only_the_latest_whole_vector_counts(spark):
     df = spark.createDataFrame(rows, "sample_id string, features array<double>, t int, v int")
     got = {r.key: r.v for r in diverse.latest_vectors(df, "sample_id", "features", 2, "t").collect()}
     assert got == {"a": [3.0, 4.0], "f": [0.0, 1.0]}
+
+
+def test_the_subset_covers_crowds_and_outliers(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.uniform(-60, 60, (8, 2))
+    crowds = np.vstack([c + rng.normal(0, 3, (400 * (i + 1), 2)) for i, c in enumerate(centres)])
+    x = np.vstack([crowds, rng.uniform(-200, 200, (25, 2))])
+    of = np.append(np.repeat(np.arange(8), [400 * (i + 1) for i in range(8)]), [-1] * 25)
+    size = 60
+    got = diverse.select(frame(spark, x), size).collect()
+    at = [int(r.key[1:]) for r in got]
+    assert len(at) == size and 0 < sum(r.gain < 0.999 for r in got) < size
+    share = [sum(of[i] == c for i in at) for c in range(8)]
+    assert min(share) >= 1 and max(share) <= size / 4  # a crowd eight times as large does not take eight times as much
+    radius = lambda ids: np.sqrt(((x[:, None] - x[None, ids]) ** 2).sum(2)).min(1).max()
+    # A subset at random leaves outliers far away; the best known way to cover (farthest first) is at most twice the optimum.
+    far = [0]
+    while len(far) < size:
+        far.append(int(np.sqrt(((x[:, None] - x[None, far]) ** 2).sum(2)).min(1).argmax()))
+    assert radius(at) <= 3 * radius(far) < radius(rng.choice(len(x), size, replace=False))
+
+
+def test_reach_follows_the_size_and_odd_tables(spark):
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.uniform(0, 100, (2000, 2)))
+    small, large = diverse.scaled_reach(df, 10), diverse.scaled_reach(df, 200)
+    assert small > large > 0
+    assert diverse.scaled_reach(df.limit(0), 10) == 1.0 and diverse.scaled_reach(frame(spark, [[1.0, 2.0]] * 3), 10) == 1.0
+    assert diverse.select(df.limit(0), 5).count() == 0
+
+
+def test_a_crowded_block_is_spread(spark, monkeypatch):
+    from vertexlake import session
+
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 0.1, (400, 3)), [[3.0, 0.0, 0.0], [9.0, 9.0, 9.0]]])
+    df = frame(spark, x)
+    monkeypatch.setattr(session.attach, "__defaults__", (*session.attach.__defaults__[:-1], 0))  # as if the chosen were too many to broadcast
+    assert {r.key for r in diverse.alone(df, diverse.select(df, None, 2.0), 2.0).collect()} == {"k0400", "k0401"}

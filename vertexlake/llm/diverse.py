@@ -3,20 +3,25 @@
 The kernel is (1 - d / reach)**5 for points at distance d < reach and 0 beyond (positive definite up to nine
 dimensions), so a point's gain - the factor by which it raises the determinant of the chosen set - is 1 as long as
 nothing chosen is within reach, and falls the better the chosen ones stand for it. Each partition chooses greedily; the
-chosen of several partitions are put together and chosen from again, until one task makes the last choice. A
-partition's core-set has the asked size and all further points of gain 1 (points with nothing chosen within reach), of
-which only so many fit as balls of half the reach fit into the space of the data; so a lone point is in every
-core-set on its way.
+chosen of several partitions are put together and chosen from again, until one task makes the last choice. A task has at
+most TASK points and a core-set at most the asked size.
+
+If no reach is given it is scaled to the size: the least step of a ladder of halved extents at which the data occupy no more
+than SHARE of the size in cells. Then fewer points than the size are out of each other's reach, so gains fall below 1 and the
+rest of the subset goes where what was chosen stands worst for the data: into wide crowds as well as to outliers.
+
+Without a size, points are chosen as long as one of gain 1 is left. A point with no other within reach always has gain 1, so it is
+chosen in whatever partition it lies; `alone` then keeps those that no other row comes near, exactly.
 
 Cases: a key that is null, and a vector that is null, of another length or with a null, NaN or infinite number, do not count; of a
 repeated key the row of latest version counts (then the smallest vector); copies of one vector are one candidate, with the smallest
 key; ties of gain go to the smallest key; an empty table gives an empty result; a size beyond the number of distinct
-vectors gives all of them.
+vectors gives all of them whose gain is not 0 within rounding; a size above a quarter of TASK is refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,12 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexlake.functions import blocks
-from vertexlake.session import cut
+from vertexlake.llm.grid import cells_near, dist2, widest
+from vertexlake.session import attach, cut
 
 #: Points that one task chooses from.
 TASK = 20_000
-#: Core-sets put together at a time.
-FAN = 8
+#: Share of the size that the cells of one reach may number, and how often the extent is halved.
+SHARE, STEPS = 0.5, 24
 
 
 def finite_vector(v: Column, dims: int) -> Column:
@@ -49,40 +55,28 @@ def latest_vectors(df: DataFrame, key: str, vector: str, dims: int, version: str
     return x.select("key", F.transform("v", lambda e: e + F.lit(0.0)).alias("v"))
 
 
-def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, all_free: bool, gain_at_least: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and gains in the order chosen. `keys` must ascend.
-
-    Stops at `size` points; with `all_free` goes on as long as a point of gain 1 is left; without a size takes only those.
-    """
+def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, gain_at_least: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and gains in the order chosen. `keys` must ascend. Without a size only points of gain 1 are taken."""
     n = len(x)
     gain = np.ones(n)
     cols: list[tuple[np.ndarray, np.ndarray]] = []  # Cholesky columns, where they are not 0
     chosen: list[int] = []
     gains: list[float] = []
     sq = (x * x).sum(1)
-    while len(chosen) < n:
+    while len(chosen) < (n if size is None else min(n, size)):
         j = int(np.argmax(gain))  # the first of the largest: the smallest key
         g = gain[j]
-        free = g >= 1.0
-        if not (free and (all_free or size is None)) and (size is None or len(chosen) >= size):
-            break
-        if g < gain_at_least:
+        if g < (1.0 if size is None else gain_at_least):
             break
         chosen.append(j)
         gains.append(float(g))
         d2 = np.maximum(sq + sq[j] - 2.0 * (x @ x[j]), 0.0)
-        near = np.nonzero((d2 <= reach * reach * (1 + 1e-9)) & (gain > 0))[0]
+        near = np.nonzero((d2 <= reach * reach * (1 + 1e-9) + 1e-12 * (sq[j] + sq)) & (gain > 0))[0]
         d = np.sqrt(((x[near] - x[j]) ** 2).sum(1))
-        kern = np.where(d < reach, (1.0 - np.minimum(d, reach) / reach) ** 5, 0.0)
-        kern[d <= reach] = np.maximum(kern[d <= reach], 1e-12)  # at the very edge a point is still within reach
-        if size is None:
-            # Only gains of 1 matter: whatever is within reach of a chosen point falls below.
-            gain[near] = np.minimum(gain[near], 1.0 - kern * kern)
-            gain[near] = np.minimum(gain[near], np.nextafter(1.0, 0.0))
-            gain[j] = -1.0
-            continue
-        e = kern.copy()
-        if not free:
+        e = np.where(d < reach, (1.0 - np.minimum(d, reach) / reach) ** 5, 0.0)
+        e[d <= reach] = np.maximum(e[d <= reach], 1e-12)  # at the very edge a point is still within reach
+        met = d <= reach
+        if g < 1.0:  # a point of gain 1 is 0 in every column before
             for rows, val in cols:
                 at = np.searchsorted(rows, j)
                 if at < len(rows) and rows[at] == j:
@@ -90,72 +84,82 @@ def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, all_
                     e -= val[at] * np.where(rows[to] == near, val[to], 0.0)
         e /= np.sqrt(g)
         cols.append((near, e))
-        gain[near] = np.minimum(gain[near] - e * e, np.nextafter(1.0, 0.0))
+        gain[near] = np.where(met, np.minimum(gain[near] - e * e, np.nextafter(1.0, 0.0)), gain[near] - e * e)
         gain[j] = -1.0
     return np.array(chosen, int), np.array(gains)
 
 
-def _choose(pdf: pd.DataFrame, size: int | None, reach: float, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
-    x = blocks.rows(pdf["v"])
-    at, gains = greedy(x, pdf["key"].to_numpy(), size, reach, all_free=not last)
-    out = pdf.iloc[at][["key", "v"]].copy()
-    out["place"] = np.arange(1, len(at) + 1)
-    out["gain"] = gains
-    return out
-
-
-def _chooser(size: int | None, reach: float, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _chooser(size: int | None, reach: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _choose(pdf, size, reach, last)
+        pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
+        at, gains = greedy(blocks.rows(pdf["v"]), pdf["key"].to_numpy(), size, reach)
+        out = pdf.iloc[at][["key", "v"]].copy()
+        out["place"] = np.arange(1, len(at) + 1)
+        out["gain"] = gains
+        return out
 
     return run
 
 
-def select(vectors: DataFrame, size: int | None, reach: float) -> DataFrame:
-    """(key, v, place, gain) of the chosen of (key, v). Without a size, points are taken while one of gain 1 is left."""
-    x = vectors.groupBy("v").agg(F.min("key").alias("key"))
-    x = cut(x)
+def scaled_reach(vectors: DataFrame, size: int) -> float:
+    """The reach for a subset of `size`, from one pass for the extents and one that counts the cells of all steps, both in sketches of fixed size."""
+    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    if not dims:
+        return 1.0
+    ends = vectors.agg(*[F.min(F.col("v")[k]) for k in range(dims)], *[F.max(F.col("v")[k]) for k in range(dims)]).first()
+    lows, extent = ends[:dims], max(b - a for a, b in zip(ends[:dims], ends[dims:]))
+    if extent <= 0:
+        return 1.0
+    sides = [extent / 2**j for j in range(STEPS)]
+    cell = lambda side: F.xxhash64(*[F.floor((F.col("v")[k] - lows[k]) / side) for k in range(dims)])
+    n = vectors.agg(*[F.approx_count_distinct(cell(s), 0.02) for s in sides]).first()
+    good = [s for s, m in zip(sides, n) if m <= max(1.0, SHARE * size)]
+    return min(good, default=extent)
+
+
+def select(vectors: DataFrame, size: int | None, reach: float | None = None) -> DataFrame:
+    """(key, v, place, gain) of the chosen of (key, v).
+
+    Without a size, points are taken while one of gain 1 is left; if those are more than one task holds, they come in the
+    core-sets of several tasks, each with its own places.
+    """
+    if size is not None and 4 * size > TASK:
+        raise ValueError(f"the last choice is made in one task of {TASK} points: at most a quarter can be chosen")
+    x = cut(vectors.groupBy("v").agg(F.min("key").alias("key")))
+    if reach is None:
+        reach = scaled_reach(x, size or 1)
     schema = "key string, v array<double>, place int, gain double"
-    parts = max(1, -(-x.count() // TASK))
-    x = x.select("key", "v")
+    n, step = x.count(), 0
     while True:
-        last = parts == 1
-        group = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")
-        x = cut(x.select("key", "v", group).groupBy("part").applyInPandas(_chooser(size, reach, last), schema))
-        if last:
+        parts = max(1, -(-n // TASK))
+        group = F.pmod(F.xxhash64("key", F.lit(step)), F.lit(parts)).alias("part")
+        x = cut(x.select("key", "v", group).groupBy("part").applyInPandas(_chooser(size, reach), schema))
+        before, n, step = n, x.count(), step + 1
+        if parts == 1 or size is None and n > 0.8 * before:
             return x
-        parts = -(-parts // FAN)
+
+
+#: Axes on which `alone` blocks rows, and the side of a block in reaches.
+AXES, SIDE = 4, 2.0
 
 
 def alone(vectors: DataFrame, chosen: DataFrame, reach: float) -> DataFrame:
-    """The rows of `chosen` (a stated set, bounded as said above) with no other row of `vectors` within `reach`.
+    """The rows of `chosen` with no other row of `vectors` within `reach`.
 
-    The stated set is sent to all tasks, and each compares its rows with it in blocks.
+    A chosen row is entered in every block of the grid it comes near, each row of `vectors` in its own block; a block that holds a
+    large part of the rows is spread over salts.
     """
-    pdf = chosen.select("key", "v").toPandas()
-    keys = pdf["key"].to_numpy()
-    q = blocks.rows(pdf["v"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met = np.zeros(len(q), bool)
-        sq = (q * q).sum(1)
-        place = {k: i for i, k in enumerate(keys)}
-        for b in batches:
-            if not len(b) or not len(q):
-                continue
-            x = np.array(b["v"].tolist(), float)
-            own = b["key"].map(place).to_numpy(float)
-            for a in range(0, len(x), 2000):
-                y = x[a : a + 2000]
-                d2 = (y * y).sum(1)[:, None] + sq[None] - 2.0 * (y @ q.T)
-                r, c = np.nonzero(d2 <= reach * reach * (1 + 1e-6) + 1e-6)
-                other = own[a + r] != c
-                r, c = r[other], c[other]
-                c = c[np.sqrt(((y[r] - q[c]) ** 2).sum(1)) <= reach]
-                met[c] = True
-        if met.any():
-            yield pd.DataFrame({"key": keys[met]})
-
-    others = vectors.select("key", "v").mapInPandas(run, "key string").distinct()
-    return chosen.join(others, "key", "left_anti")
+    first = vectors.select(F.size("v")).first()
+    if first is None:
+        return chosen.limit(0)
+    dims = first[0]
+    axes = widest(vectors, "v", dims, AXES)
+    side, half = SIDE * reach, reach * (1 + 1e-9)
+    names = [f"b{k}" for k in axes]
+    q = chosen.select(F.col("key").alias("q"), F.col("v").alias("w"))
+    for name, cells in zip(names, cells_near(F.col("w"), F.col("w"), axes, half, side)):
+        q = q.withColumn(name, F.explode(cells))
+    rows = vectors.select("key", "v", *[F.floor(F.col("v")[k] / side).alias(f"b{k}") for k in axes])
+    met = attach(rows, q, names, ["key"]).filter(F.col("key") != F.col("q"))
+    met = met.filter(F.sqrt(dist2(F.col("v"), F.col("w"), dims)) <= reach).select(F.col("q").alias("key")).distinct()
+    return chosen.join(met, "key", "left_anti")

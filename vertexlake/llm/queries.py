@@ -83,7 +83,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_select(spark: SparkSession, d: str) -> DataFrame:
-    s = diverse.select(_samples(spark, d), SUBSET, LONE_REACH)
+    s = diverse.select(_samples(spark, d), SUBSET)
     return s.select(F.col("key").alias("sample_id"), "place", F.round("gain", 9).alias("gain"))
 
 
