@@ -1,6 +1,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vertexlake.llm import markov
 from vertexlake.llm.components import components
@@ -78,3 +79,70 @@ def test_components(spark, links):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     assert {r.node: r.root for r in components(df).collect()} == {n: find(n) for n in root}
+
+
+def dense(n, links, reach):
+    """Markov clustering on a dense matrix."""
+    m = np.eye(n)
+    for a, b, d2 in links:
+        m[a, b] = m[b, a] = np.exp(-d2 / reach**2)
+    m /= m.sum(0)
+    for _ in range(40):
+        m = (m @ m) ** 2
+        m[m < markov.SMALL * m.sum(0)] = 0.0
+        m /= m.sum(0)
+    return m
+
+
+def test_flow_is_that_of_the_dense_matrix(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.25, (14, 2)) for c in ((0, 0), (1.2, 0), (9, 9))])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    links = [(i, j, float(d2[i, j])) for i in range(len(x)) for j in range(i + 1, len(x)) if d2[i, j] <= 0.25]
+    df = spark.createDataFrame([(a, b, d, 1, 1) for a, b, d in links], "a bigint, b bigint, d2 double, n_a bigint, n_b bigint")
+    got = np.zeros((len(x), len(x)))
+    for r in markov.flow(df, 0.5).collect():
+        got[r.i, r.j] = r.v
+    used = sorted({i for a, b, _ in links for i in (a, b)})
+    assert np.allclose(got[np.ix_(used, used)], dense(len(x), links, 0.5)[np.ix_(used, used)], atol=0.02)
+
+
+def found_by_flow(spark, x, reach):
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([("s", k, [float(v) for v in r]) for k, r in zip(keys, x)], "space string, key string, v array<double>")
+    got = {(r.cluster_key, r.member_key, r["size"]) for r in markov.cluster(df, x.shape[1], reach, repair=False)[0].collect()}
+    want = brute(keys, x, reach)
+    return len(got & want) / len(want)
+
+
+def test_flow_alone_finds_most_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.uniform(0, 60, (60, 3))
+    x = np.vstack([c + rng.normal(0, 0.12, (1 + i % 6, 3)) for i, c in enumerate(centres)])
+    assert found_by_flow(spark, x, 0.5) >= 0.9
+    monkeypatch.setattr(markov, "flow", lambda links, reach: links.select(F.explode(F.array("a", "b")).alias("i")).distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")))
+    assert found_by_flow(spark, x, 0.5) < 0.5
+
+
+def test_crowded_blocks_become_balls_and_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0, 0.06, (300, 4)), rng.normal(3, 0.3, (200, 4)), rng.uniform(20, 60, (20, 4)), [[0.4, 0, 0, 0]]])
+    keys = [f"k{i:04d}" for i in rng.permutation(len(x))]
+    want = brute(keys, x, 0.5)
+    assert run(spark, keys, x, 4, 0.5)[0] == want
+    monkeypatch.setattr(markov, "HOT", 20)
+    df = spark.createDataFrame([("s", k, [float(v) for v in r]) for k, r in zip(keys, x)], "space string, key string, v array<double>")
+    few, many = markov.nodes_of(df, 4, 0.5)[1].count(), len(x)
+    assert few < many / 2
+    assert run(spark, keys, x, 4, 0.5)[0] == want
+
+
+def test_typical_members_are_in_the_middle(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.uniform(0.01, 0.16, (40, 2)), [[0.085, 0.085]], rng.uniform(0, 0.1, (3, 2)) + 40])
+    keys = [f"k{i:03d}" for i in range(len(x))]
+    t = {(r.cluster_key, r.place): r for r in run(spark, keys, x, 2, 0.5)[1]().collect()}
+    assert t["k000", 1].size == 41 and t["k041", 1].size == 3 and ("k041", 3) in t
+    mid = x[:41].mean(0)
+    best = [keys[i] for i in np.argsort(((x[:41] - mid) ** 2).sum(1))[:3]]
+    assert [t["k000", p].member_key for p in (1, 2, 3)] == best
