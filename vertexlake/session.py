@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", conf.pop("driver_memory", "6g"))
     )
     for k, v in conf.items():
@@ -73,9 +74,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed and written to the checkpoint folder, so neither recomputed nor lost with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` computed and written to the checkpoint folder, so neither recomputed nor lost with an executor.
+
+    A checkpoint keeps the planner's estimate of its size; in a loop that joins a table with itself the estimate is squared every
+    round, until the planner spends its time on numbers of millions of digits. So the result starts without an estimate.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, cheap: bool = False) -> tuple[DataFrame, bool]:
