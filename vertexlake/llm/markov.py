@@ -31,13 +31,13 @@ from vertexlake.llm.grid import cells_near, dist2, gap2, widest
 from vertexlake.session import attach, cut
 
 #: Axes on which nodes are blocked, and the side of a block in reaches.
-AXES, BLOCK = 4, 2.0
+AXES, BLOCK = 4, 4.0
 #: Nodes of a block from which on balls are formed in it, and the share of them that a ball must take for another round.
-HOT, WORTH = 2_000, 0.05
+HOT, WORTH = 5_000, 0.05
 #: Share of its column below which an entry is small. A column so has at most 1 / SMALL entries.
 SMALL = 1e-3
 #: Rounds after which inflation grows, so that flow that swings comes to rest too.
-PATIENCE = 20
+PATIENCE = 8
 #: Parts over which the candidates of a block are spread.
 SALTS = 8
 
@@ -99,7 +99,8 @@ def node_pairs(nodes: DataFrame, dims: int, reach: float) -> DataFrame:
     A node is entered in every block its box comes near; a pair that shares several blocks is looked at in the first of them. A block of many nodes
     is spread over tasks: its nodes of one side by a salt, those of the other side in all of them.
     """
-    axes = widest(nodes, "p", dims, AXES)
+    wide = widest(nodes, "p", dims, dims)
+    axes = wide[:AXES]
     side, half = BLOCK * reach, reach / 2 * (1 + 1e-9)
     lo, hi = _box()
     x = nodes.withColumns({f"f{k}": F.floor((lo[k] - half) / side) for k in axes})
@@ -121,7 +122,10 @@ def node_pairs(nodes: DataFrame, dims: int, reach: float) -> DataFrame:
     for k in axes:
         first = first & (c(f"b{k}") == F.greatest(c(f"f{k}_a"), c(f"f{k}_b")))
     (alo, ahi), (blo, bhi) = _box("_a"), _box("_b")
-    pairs = left.join(right, on).filter((c("node_a") < c("node_b")) & first & (gap2(alo, ahi, blo, bhi, dims) <= r2 * (1 + 1e-12)))
+    near = F.lit(True)  # axis by axis, those the block does not bound first: most candidates fail there
+    for k in [*wide[AXES:], *axes]:
+        near = near & (blo[k] - ahi[k] <= reach) & (alo[k] - bhi[k] <= reach)
+    pairs = left.join(right, on).filter((c("node_a") < c("node_b")) & near & first & (gap2(alo, ahi, blo, bhi, dims) <= r2 * (1 + 1e-12)))
     both = [[c(f"p{m}"), F.coalesce(f"q{m}", f"p{m}")] for m in ("_a", "_b")]
     d2 = F.least(*[dist2(m, n, dims) for m in both[0] for n in both[1]])
     pairs = pairs.select(c("node_a").alias("a"), c("node_b").alias("b"), c("n_a"), c("n_b"), alo.alias("lo_a"), ahi.alias("hi_a"), blo.alias("lo_b"), bhi.alias("hi_b"), c("q_a").isNull().alias("one_a"), c("q_b").isNull().alias("one_b"), d2.alias("d2"))
@@ -144,21 +148,15 @@ def ask_members(open_: DataFrame, members: DataFrame, dims: int, reach: float) -
     return x.filter(F.sqrt(d2) <= reach).groupBy("a", "b").agg(F.min(d2).alias("d2"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
-def _column(entries: Column, power: float) -> Column:
-    """A column's entries inflated by `power`, without the small ones, scaled to the sum 1; where all are small the largest stays."""
-    add = lambda s, e: s + e["v"]
-    up = F.transform(entries, lambda e: F.struct(e["i"].alias("i"), F.pow(e["v"], F.lit(power)).alias("v")))
-    whole = F.aggregate(up, F.lit(0.0), add)
-    most = F.array_max(F.transform(up, lambda e: F.struct(e["v"].alias("v"), (-e["i"]).alias("i"))))
-    kept = F.filter(up, lambda e: (e["v"] >= SMALL * whole) | ((e["v"] == most["v"]) & (e["i"] == -most["i"])))
-    left = F.aggregate(kept, F.lit(0.0), add)
-    return F.transform(kept, lambda e: F.struct(e["i"].alias("i"), (e["v"] / left).alias("v")))
-
-
 def _columns(entries: DataFrame, power: float) -> DataFrame:
-    """(j, col) of entries (i, j, v), which add up where repeated."""
-    x = entries.groupBy("j", "i").agg(F.sum("v").alias("v")).groupBy("j").agg(F.collect_list(F.struct("i", "v")).alias("col"))
-    return x.select("j", _column(F.col("col"), power).alias("col"))
+    """(j, col, s) of entries (i, j, v), which add up where repeated, each sum inflated by `power`.
+
+    `col` are the column's entries without the small ones (where all are small the largest stays), `s` their sum, by which readers divide.
+    """
+    x = entries.groupBy("j", "i").agg(F.pow(F.sum("v"), F.lit(power)).alias("v"))
+    x = x.groupBy("j").agg(F.collect_list(F.struct("i", "v")).alias("col"), F.sum("v").alias("whole"), F.max(F.struct("v", (-F.col("i")).alias("i"))).alias("most"))
+    kept = F.filter("col", lambda e: (e["v"] >= SMALL * F.col("whole")) | ((e["v"] == F.col("most.v")) & (e["i"] == -F.col("most.i"))))
+    return x.select("j", kept.alias("col"), F.aggregate(kept, F.lit(0.0), lambda s, e: s + e["v"]).alias("s"))
 
 
 def flow(links: DataFrame, reach: float) -> DataFrame:
@@ -170,14 +168,15 @@ def flow(links: DataFrame, reach: float) -> DataFrame:
     m = cut(_columns(each.unionByName(ends), 1.0))
     rounds = 0
     while True:
-        power = 2.0 + max(0, rounds - PATIENCE) // 5
-        left = m.select("j", F.explode("col").alias("e")).select("j", F.col("e.i").alias("k"), F.col("e.v").alias("u"))
-        square = left.join(m.select(F.col("j").alias("k"), "col"), "k").select("j", "u", F.explode("col").alias("e"))
+        power = 2.0 + max(0, rounds - PATIENCE) // 2
+        left = m.select("j", "s", F.explode("col").alias("e")).select("j", F.col("e.i").alias("k"), (F.col("e.v") / F.col("s")).alias("u"))
+        square = left.join(m.select(F.col("j").alias("k"), "col", "s"), "k").select("j", (F.col("u") / F.col("s")).alias("u"), F.explode("col").alias("e"))
         m = cut(_columns(square.select(F.col("e.i").alias("i"), "j", (F.col("u") * F.col("e.v")).alias("v")).repartition("j"), power))
         rounds += 1
-        chaos = F.array_max(F.transform("col", lambda e: e["v"])) - F.aggregate("col", F.lit(0.0), lambda s, e: s + e["v"] * e["v"])
+        # What a column's largest entry has above the sum of the squares: 0 where all entries are equal.
+        chaos = F.aggregate("col", F.lit(0.0), lambda t, e: F.greatest(t, e["v"])) / F.col("s") - F.aggregate("col", F.lit(0.0), lambda t, e: t + e["v"] * e["v"]) / (F.col("s") * F.col("s"))
         if not m.filter(chaos > 1e-3).take(1):
-            return m.select(F.explode("col").alias("e"), "j").select("e.i", "j", "e.v")
+            return m.select("j", "s", F.explode("col").alias("e")).select("e.i", "j", (F.col("e.v") / F.col("s")).alias("v"))
 
 
 def cluster(vectors: DataFrame, dims: int, reach: float, repair: bool = True) -> tuple[DataFrame, Callable[[], DataFrame]]:
