@@ -55,18 +55,22 @@ def latest_vectors(df: DataFrame, key: str, vector: str, dims: int, version: str
     return x.select("key", F.transform("v", lambda e: e + F.lit(0.0)).alias("v"))
 
 
-def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, gain_at_least: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and gains in the order chosen. `keys` must ascend. Without a size only points of gain 1 are taken."""
+def greedy(x: np.ndarray, keys: np.ndarray, size: int | None, reach: float, all_free: bool = False, gain_at_least: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and gains in the order chosen. `keys` must ascend.
+
+    Without a size only points of gain 1 are taken; with `all_free` those are taken beyond the size too.
+    """
     n = len(x)
     gain = np.ones(n)
     cols: list[tuple[np.ndarray, np.ndarray]] = []  # Cholesky columns, where they are not 0
     chosen: list[int] = []
     gains: list[float] = []
     sq = (x * x).sum(1)
-    while len(chosen) < (n if size is None else min(n, size)):
+    while len(chosen) < n:
         j = int(np.argmax(gain))  # the first of the largest: the smallest key
         g = gain[j]
-        if g < (1.0 if size is None else gain_at_least):
+        full = size is None or len(chosen) >= size
+        if g < (1.0 if full else gain_at_least) or full and size is not None and not all_free:
             break
         chosen.append(j)
         gains.append(float(g))

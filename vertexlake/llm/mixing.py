@@ -9,6 +9,9 @@ inside a message, as blocks of equal length do, so no stretch is empty before th
 them) beyond that stay empty: by them the report tells which sources fall short. The others have exactly their share of
 the planned total, so among each other they keep their proportions.
 
+`mix` is the form that keeps messages whole: the r-th slot takes the r-th block, and a message belongs to the block in which it begins.
+There shares are off by what blocks differ in size, and a block that a long message covers is empty.
+
 Prefix sums are taken in two steps (sums of hash ranges or slot ranges, then within a range), so neither a source that
 holds a third of all rows nor its slots are gathered in one task.
 
@@ -101,7 +104,7 @@ def _start(rank: Column) -> Column:
     return _whole(_product(rank, F.col("wanted")), F.col("n_slots"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages (doc_id, source, n_tokens, at, block, uses), schedule (slot, source, rank, wanted_tokens, n_tokens) and report.
 
     `at` is the message's first token in its source's row, `block` the rank of the slot in which it begins first, `uses` how
@@ -161,3 +164,52 @@ def mixture(messages: DataFrame, schedule: DataFrame, report: DataFrame) -> Data
     a, z = F.greatest("p0", _start(F.col("rank"))), F.least("p1", _start(F.col("rank") + 1))
     x = x.select("source", "doc_id", "repeat", "rank", (a - F.col("p0")).alias("start"), (z - a).alias("n_tokens")).filter("n_tokens > 0")
     return x.join(schedule.select("source", "rank", "slot"), ["source", "rank"]).select("slot", "source", "doc_id", "repeat", "start", "n_tokens")
+
+
+# Messages kept whole: blocks are cut where messages begin, so they are of about equal tokens only.
+
+
+def blocks(messages: DataFrame, n_messages: int, seed: int, block: int) -> DataFrame:
+    """`messages` with h (their place in the shuffled order) and `block`, by the token at which they begin."""
+    n_ranges = max(1, -(-n_messages // RANGE))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)
+    m = messages.withColumn("h", h).withColumn("range", F.expr(f"h div {(1 << 63) // n_ranges + 1}"))
+    before = m.groupBy("source", "range").agg(F.sum("n_tokens").alias("here"))
+    before = before.withColumn("before", F.sum("here").over(Window.partitionBy("source").orderBy("range")) - F.col("here")).drop("here")
+    w = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens")).join(before, ["source", "range"])
+    return m.withColumn("block", F.expr(f"(own + before) div {block}")).drop("own", "before", "range")
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages (doc_id, source, n_tokens, block, uses), schedule (slot, source, block, repeat) and report.
+
+    The report has a row for each source of the targets: target_share, max_repeats, available_tokens, target_tokens,
+    capacity_tokens, n_slots, empty_slots, used_tokens, actual_share, short.
+    """
+    t = cut(_targets(targets))
+    wanted, _ = broadcast_if_small(t.filter(F.col("source").isNotNull()).select("source"))
+    m = cut(count_tokens(documents.select("doc_id", "source", "text").join(wanted, "source", "left_semi"), keep=["doc_id", "source"]))
+    stock = cut(m.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("messages")))
+    total, n_messages = stock.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("messages"), F.lit(0))).first()
+    s = slots(t, -(-total // block))
+    given = s.groupBy("source").agg(F.count("*").alias("n_slots"))
+    plan = t.join(stock, "source", "left").join(given, "source", "left").na.fill(0, ["tokens", "messages", "n_slots"])
+    plan = plan.withColumn("n_blocks", F.expr(f"(tokens + {block} - 1) div {block}")).withColumn("filled", F.least(F.col("n_slots"), F.col("n_blocks") * F.col("repeats")))
+    plan = cut(plan)
+    small, _ = broadcast_if_small(plan.select("source", "n_blocks", "filled", "repeats"))
+    at = F.least(F.col("block"), F.col("n_blocks") - 1)
+    uses = F.when(F.col("n_blocks") == 0, F.lit(0)).otherwise(F.expr("filled div n_blocks") + (at < F.pmod("filled", "n_blocks")).cast("bigint"))
+    m = blocks(m, n_messages, seed, block).join(small, "source").withColumn("uses", uses)
+    m = cut(m.select("doc_id", "source", "n_tokens", F.greatest(at, F.lit(0)).alias("block"), "uses"))
+    schedule = s.join(small, "source").filter("rank < filled").select("slot", "source", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("repeat"))
+    used = m.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"))
+    report = plan.join(used, "source", "left").na.fill(0, ["used_tokens"])
+    share = F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy())), F.lit(0.0))
+    wants = F.coalesce(F.col("share"), F.lit(0.0)) * float(total)
+    report = report.select(
+        "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("tokens").alias("available_tokens"),
+        wants.alias("target_tokens"), (F.col("tokens") * F.col("repeats")).alias("capacity_tokens"), "n_slots", (F.col("n_slots") - F.col("filled")).alias("empty_slots"),
+        "used_tokens", share.alias("actual_share"), (F.col("source").isNotNull() & (F.col("tokens") * F.col("repeats") < wants)).alias("short"),
+    )
+    return m, schedule, report

@@ -98,7 +98,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+    return mixing.plan_mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
