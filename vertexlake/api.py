@@ -6,7 +6,7 @@ feature, value), archetypes (arch_id, arch_name, position), distances (sample_id
 
 from vertexlake.functions.keyed import exponential_rank, key, normal, uniform  # noqa: F401
 from vertexlake.functions.names import sanitize, tell_apart  # noqa: F401
-from vertexlake.operators.archetypes import align_tables, annotate, extreme_variance, ordered, permutations, permute_features, quality, resample_weighted, zscore  # noqa: F401
+from vertexlake.operators.archetypes import align_tables, annotate, extreme_variance, ordered, permutations, permute_features, permute_rows, quality, resample_weighted, zscore  # noqa: F401
 from vertexlake.operators.bins import bins_by_cutoff, bins_by_share, choose_bins, equal_bins  # noqa: F401
 from vertexlake.operators.distance import arch_dist, merge_distances, rank_distances, weight_distances, wide_distances  # noqa: F401
 from vertexlake.operators.fit import (  # noqa: F401
@@ -14,11 +14,13 @@ from vertexlake.operators.fit import (  # noqa: F401
     align_replicates,
     average_positions,
     bootstrap,
+    dimension_significance,
     dimension_variance,
     empirical_p,
     fit_matrix,
     fit_table,
     k_sweep,
+    left_out,
     permuted,
     position_variance,
     resample,
@@ -26,7 +28,7 @@ from vertexlake.operators.fit import (  # noqa: F401
     spark_kmeans,
     variance_ratio,
 )
-from vertexlake.operators.gam import find_decreasing, fit_curves, summarise  # noqa: F401
+from vertexlake.operators.gam import curve_with_points, derivative_band, find_decreasing, fit_curves, summarise  # noqa: F401
 from vertexlake.operators.geometry import align, assign, hull, leaf_order, simplex_volume, table_hull, volume_k3  # noqa: F401
 from vertexlake.operators.models import (  # noqa: F401
     classify,
@@ -49,9 +51,12 @@ from vertexlake.operators.plotdata import by_k, distribution, embed, lines, pane
 from vertexlake.operators.project import fit_svd, from_components, gram, gram_table, moments, prepare, to_components  # noqa: F401
 from vertexlake.operators.ranktest import adjust_p, find_decreasing_wilcox, join_labels, labels, median_differences, rank_statistics, select_top, top_decreasing, tradeoff, upper_tail  # noqa: F401
 from vertexlake.operators.sets import (  # noqa: F401
+    activity_of,
     add_terms,
+    ancestors,
     auc_scores,
     binary_scores,
+    catalogue_lookup,
     explode_catalogue,
     filter_by_size,
     filter_go,
@@ -63,6 +68,7 @@ from vertexlake.operators.sets import (  # noqa: F401
     measure_activity,
     otsu_thresholds,
     pinv_scores,
+    propagate,
     set_matrix,
 )
 from vertexlake.operators.sketch import box_of, find_side, sketch  # noqa: F401

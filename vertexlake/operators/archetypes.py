@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +85,61 @@ def quality(long: DataFrame, marker: DataFrame) -> DataFrame:
     return x.agg(F.sum("value").alias("total"), (F.count("*") / float(max(n, 1))).alias("detected"), F.try_divide(inside, F.sum("value")).alias("marker_share"))
 
 
-def permute_features(long: DataFrame, seed: int, replicate: int | None = None) -> DataFrame:
+def permute_features(long: DataFrame, seed: int, replicate: int | None = None, replace: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """(sample_id, feature, value): each feature's values dealt anew to the samples, every value once.
 
-    The i-th sample by one key gets the i-th value by another; keys are uniform, so no task holds a feature.
+    The i-th sample by one key gets the i-th value by another; keys are uniform, so no task holds a feature. With `weights`
+    (sample_id, weight) heavy samples' values come early in that order, as in draws without replacement; samples without positive weight come last.
+    With `replace` each sample draws a value of its own: the one whose place (by sample) a uniform number names, with `weights` the one whose
+    stretch of the summed weights holds it (samples without positive weight are never drawn).
     """
     rep = [] if replicate is None else [F.lit(replicate)]
-    x = long.withColumn("a_", keyed.uniform(seed, "place", *rep, F.col("sample_id"))).withColumn("b_", keyed.uniform(seed, "permute", *rep, F.col("feature"), F.col("sample_id")))
-    a = ranks.row_numbers(x, ["feature"], "a_", ["sample_id"], "rn").select("feature", "sample_id", "rn")
-    b = ranks.row_numbers(x, ["feature"], "b_", ["sample_id"], "rn").select("feature", "value", "rn")
-    return a.join(b, ["feature", "rn"]).select("sample_id", "feature", "value")
+    if weights is not None:
+        long = long.join(weights.select("sample_id", F.col("weight").cast("double").alias("w_")), "sample_id", "left")
+    u = keyed.uniform(seed, "permute", *rep, F.col("feature"), F.col("sample_id"))
+    if not replace:
+        key = u if weights is None else F.coalesce(-keyed.exponential_rank(seed, "permute", F.col("w_"), *rep, F.col("feature"), F.col("sample_id")), u + 1e300)
+        x = long.withColumn("a_", keyed.uniform(seed, "place", *rep, F.col("sample_id"))).withColumn("b_", key)
+        a = ranks.row_numbers(x, ["feature"], "a_", ["sample_id"], "rn").select("feature", "sample_id", "rn")
+        b = ranks.row_numbers(x, ["feature"], "b_", ["sample_id"], "rn").select("feature", "value", "rn")
+        return a.join(b, ["feature", "rn"]).select("sample_id", "feature", "value")
+    order = long if weights is None else long.filter("w_ > 0")
+    n = ranks.numbered(order.select("feature", "sample_id", "value", *(["w_"] if weights is not None else [])), [F.col("feature"), F.col("sample_id")], "at_")
+    n = n.drop("part_")
+    first = n.groupBy("feature").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    first, _ = broadcast_if_small(first)
+    n = n.join(first, "feature").withColumn("at_", F.col("at_") - F.col("first_"))
+    if weights is None:
+        want = long.select("sample_id", "feature", u.alias("u_")).join(first, "feature").select("sample_id", "feature", F.floor(F.col("u_") * F.col("n_")).alias("at_"))
+        return want.join(n.select("feature", "at_", "value"), ["feature", "at_"]).select("sample_id", "feature", "value")
+    # Summed weights: the samples' weights are the same in every feature, so a place is looked up among cells of the unit interval.
+    upto = F.sum("w_").over(Window.partitionBy("feature").orderBy("at_"))
+    z = n.withColumn("z_", upto / F.sum("w_").over(Window.partitionBy("feature"))).withColumn("y_", F.lag("z_", 1, 0.0).over(Window.partitionBy("feature").orderBy("at_")))
+    cells = 1_024
+    z = z.withColumn("cell_", F.explode(F.sequence(F.floor(F.col("y_") * cells), F.least(F.floor(F.col("z_") * cells), F.lit(cells - 1)))))
+    want = long.select("sample_id", "feature", u.alias("u_")).withColumn("cell_", F.floor(F.col("u_") * cells))
+    got = want.join(z.select("feature", "cell_", "y_", "z_", "value"), ["feature", "cell_"])
+    return got.filter((F.col("u_") >= F.col("y_")) & (F.col("u_") < F.col("z_"))).select("sample_id", "feature", "value")
+
+
+def permute_rows(features: DataFrame, seed: int, replicate: int = 0) -> DataFrame:
+    """(feature, values): each feature's values in a new order, of a table that holds a feature in one row as an array.
+
+    The order depends on the seed, the replicate and the feature's name alone. For features that fit a row (some 10 million values); longer
+    ones are permuted by `permute_features`. A null array stays null.
+    """
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("values")
+            flat, ends = np.array(lists.values.to_numpy(zero_copy_only=False)), lists.offsets.to_numpy()
+            for name, i, j in zip(b.column("feature").to_pylist(), ends[:-1], ends[1:]):
+                key = hashlib.md5(f"{seed}|permute|{replicate}|{name}".encode()).digest()[:8]
+                np.random.Generator(np.random.PCG64(int.from_bytes(key, "big"))).shuffle(flat[i:j])
+            made = pa.ListArray.from_arrays(lists.offsets, pa.array(flat), mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([b.column("feature"), made], ["feature", "values"])
+
+    return features.select("feature", "values").mapInArrow(run, "feature string, values array<double>")
 
 
 def resample_weighted(samples: DataFrame, n: int, weight: str, seed: int = 435) -> DataFrame:

@@ -9,7 +9,9 @@ from vertexlake.functions.ranks import row_numbers
 
 
 def bins_by_share(dist: DataFrame, share: float = 0.1) -> DataFrame:
-    """(arch, sample_id): the round(n * share) nearest samples of each archetype (half to even), ties by sample."""
+    """(arch, sample_id): the round(n * share) nearest samples of each archetype (half to even), ties by sample. A share outside 0..1 is an error."""
+    if not 0 <= share <= 1:
+        raise ValueError("a share is between 0 and 1")
     x = row_numbers(dist, ["arch"], "dist", ["sample_id"], total="n")
     return x.filter(F.col("rn") <= F.bround(F.col("n") * share, 0)).select("arch", "sample_id")
 

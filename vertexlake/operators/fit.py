@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexlake.functions import blocks, keyed, ranks
 from vertexlake.operators import geometry, pcha
+from vertexlake.session import cut
 
 #: Numbers in a matrix that is sent to the tasks: 16 MB.
 LOCAL = 2_000_000
@@ -56,12 +57,27 @@ class Fits:
 
 
 def whole_rows(samples: DataFrame, dims: int | None = None) -> tuple[DataFrame, int, int]:
-    """(samples without broken vectors, their number, their dimensions); the first vector's size is the table's."""
-    good = samples.filter(F.col("features").isNotNull() & ~F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select("sample_id", "features")
+    """(samples without broken vectors, their number, their dimensions): vectors of `dims` finite numbers.
+
+    If not given, the dimensions are those of most vectors (of equally many the larger), so a few short rows are left out and not
+    the others; `left_out` says how many of each size are.
+    """
+    good = samples.filter(_finite(F.col("features"))).select("sample_id", "features")
+    sizes = {r[0]: r[1] for r in good.groupBy(F.size("features")).count().collect()}  # a row for each size of vector
     if dims is None:
-        dims = good.agg(F.min(F.size("features"))).first()[0] or 0
-    good = good.filter(F.size("features") == dims)
-    return good, good.count(), dims
+        dims = max(sizes, key=lambda d: (sizes[d], d), default=0)
+    return good.filter(F.size("features") == dims), sizes.get(dims, 0), dims
+
+
+def _finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def left_out(samples: DataFrame, dims: int) -> DataFrame:
+    """(size, finite, n): the rows that a fit of `dims` dimensions leaves out, by size of vector (null of a null one) and whether all numbers are finite."""
+    ok = F.coalesce(_finite(F.col("features")), F.lit(False))
+    x = samples.select(F.when(F.col("features").isNotNull(), F.size("features")).alias("size"), ok.alias("finite"))
+    return x.filter(~F.col("finite") | ~F.col("size").eqNullSafe(F.lit(dims))).groupBy("size", "finite").agg(F.count("*").alias("n"))
 
 
 def local_matrix(good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +288,10 @@ def fit_table(samples: DataFrame, k: int, method: str = "pcha", seed: int = 0, r
     arch, row = _rows(method, k, 0, f, x, ratio)
     out = Fits(spark.createDataFrame(arch, ARCHETYPES), spark.createDataFrame([row], SUMMARY))
     if f.s is not None:
-        pdf = pd.DataFrame({"sample_id": ids, "k": k, "weights": f.s.T.tolist()})
-        out.weights = spark.createDataFrame(pdf)
-        out.coeffs = spark.createDataFrame(pd.DataFrame({"sample_id": ids, "k": k, "coef": f.c.tolist()}))
+        id_ = dict(good.dtypes)["sample_id"]
+        rows = lambda m: [(i, k, v) for i, v in zip(ids.tolist(), m.tolist())]
+        out.weights = spark.createDataFrame(rows(f.s.T), f"sample_id {id_}, k int, weights array<double>")
+        out.coeffs = spark.createDataFrame(rows(f.c), f"sample_id {id_}, k int, coef array<double>")
     return out
 
 
@@ -305,13 +322,28 @@ def bootstrap(samples: DataFrame, ks: list[int], n: int = 10, share: float | Non
     return align_replicates(_many(samples, [(k, r) for k in ks for r in range(1, n + 1)], share, replace, simplex, method, seed, ratio, False, options))
 
 
-def permuted(samples: DataFrame, ks: list[int], n: int = 100, method: str = "pcha", seed: int = 435, ratio: str = "t_ratio", replace: bool = False, **options) -> Fits:
-    """n fits of each k on tables whose every feature is permuted by itself. All k of a replicate see the same permutation."""
-    return _many(samples, [(k, r) for r in range(1, n + 1) for k in ks], None, replace, False, method, seed, ratio, True, options)
+def permuted(samples: DataFrame, ks: list[int], n: int = 100, method: str = "pcha", seed: int = 435, ratio: str = "t_ratio", replace: bool = False, bootstrap_n: int = 0, share: float = 0.65, **options) -> Fits:
+    """n fits of each k on tables whose every feature is permuted by itself. All k of a replicate see the same permutation.
+
+    With `bootstrap_n` each permuted table is also fitted that often on a `share` of its rows, and total_var tells how far the archetypes vary.
+    """
+    return _many(samples, [(k, r) for r in range(1, n + 1) for k in ks], None, replace, False, method, seed, ratio, True, options | ({"bootstrap_": (bootstrap_n, share)} if bootstrap_n else {}))
+
+
+def _total_variance(found: list[np.ndarray], spread: float) -> float:
+    """Mean over archetypes of their variance (summed over dimensions) in the aligned fits, over that of the data."""
+    good = [x for x in found if x.size and np.isfinite(x).all()]
+    good = [x for x in good if x.shape == good[0].shape]
+    if len(good) < 2 or not spread > 0:
+        return float("nan")
+    same = np.stack([good[0], *(x[:, geometry.align(good[0], x)[1]] for x in good[1:])])
+    return float(same.var(0, ddof=1).sum(0).mean() / spread)
 
 
 def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None, replace: bool, simplex: bool, method: str, seed: int, ratio: str, permute: bool, options: dict) -> Fits:
     spark = samples.sparkSession
+    options = dict(options)
+    times, part = options.pop("bootstrap_", (0, 0.0))
     good, n, dims = whole_rows(samples)
     if n * dims > LOCAL:
         numbered = ranks.numbered(good, [F.col("sample_id"), F.col("features")]).select(F.col("rn").alias("sample_id"), "features")
@@ -320,7 +352,9 @@ def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None,
             rows = _permuted_rows(numbered, n, seed, r, replace) if permute else _drawn(numbered, n, share, seed, r, replace) if share is not None and r else numbered
             rows = (rows.withColumn("features", F.slice("features", 1, max(1, k - 1))) if simplex else rows).persist()
             f = _large_fit(rows, k, min(dims, max(1, k - 1)) if simplex else dims, method, seed + r, **options)
-            parts.append(_rows(method, k, r, f, None, "none", large=_large_goodness(rows, f.xc, ratio)))
+            again = [_large_fit(_drawn(rows, n, part, seed, 1_000 * r + i, False), k, dims, method, seed + r + i, **options).xc for i in range(times)]
+            spread = sum(v.data_var or 0.0 for v in data_variance(rows).collect()) if times else 0.0
+            parts.append(_rows(method, k, r, f, None, "none", _total_variance(again, spread), large=_large_goodness(rows, f.xc, ratio)))
             rows.unpersist()
         return Fits(spark.createDataFrame([a for p, _ in parts for a in p], ARCHETYPES), spark.createDataFrame([s for _, s in parts], SUMMARY))
     matrix = spark.sparkContext.broadcast(local_matrix(good)[1])
@@ -339,12 +373,13 @@ def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None,
             if simplex:
                 x = x[: max(1, k - 1)]
             f = fit_matrix(x, k, method, seed + r, **options)
-            arch, row = _rows(method, k, r, f, x, ratio)
+            again = [fit_matrix(x[:, np.argsort(_keys(seed, "inner", 1_000 * r + i, x.shape[1]), kind="stable")[: int(np.round(x.shape[1] * part))]], k, method, seed + r + i, **options).xc for i in range(times)]
+            arch, row = _rows(method, k, r, f, x, ratio, _total_variance(again, float(x.var(1, ddof=1).sum())) if times else float("nan"))
             out.append((*row, [a[-1] for a in arch]))
         return pd.DataFrame(out, columns=["method", "k", "replicate", "sse", "varexpl", "hull_vol", "arc_vol", "t_ratio", "total_var", "n_iter", "converged", "positions"])
 
     grid = spark.createDataFrame([(k, r, i) for i, (k, r) in enumerate(tasks)], "k int, replicate int, task int").repartition(min(len(tasks), 2000), "task")
-    got = grid.groupBy("task").applyInPandas(run, schema).persist()
+    got = cut(grid.groupBy("task").applyInPandas(run, schema))
     arch = got.select("method", "k", "replicate", F.posexplode("positions").alias("p", "position"))
     arch = arch.select("method", "k", "replicate", (F.col("p") + 1).alias("arch_id"), F.concat(F.lit("archetype_"), F.col("p") + 1).alias("arch_name"), "position")
     return Fits(arch, got.drop("positions"))
@@ -429,6 +464,24 @@ def empirical_p(rand: DataFrame, obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x, x.select("k", "var_name", "var_obs", "p_value").distinct()
 
 
+def dimension_significance(observed: DataFrame, rand: DataFrame, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As `empirical_p`, of the variance of each dimension over the archetypes: var_name is V1, V2 and so on.
+
+    Both tables are archetypes (k, replicate, arch_id, position); the observed variance is the mean over its replicates. With
+    `samples` variances are over those of the data. Dimensions that only one side has stay, with nulls.
+    """
+
+    def each(archetypes: DataFrame) -> DataFrame:
+        v = archetypes.select("k", "replicate", F.posexplode("position").alias("pos", "v")).groupBy("k", "replicate", "pos").agg(F.var_samp("v").alias("v"))
+        if samples is not None:
+            v = v.join(F.broadcast(data_variance(samples)), "pos").withColumn("v", F.try_divide("v", "data_var"))  # a row for each dimension
+        return v.withColumn("var_name", F.concat(F.lit("V"), F.col("pos") + 1))
+
+    o = each(observed).groupBy("k", "var_name").agg(F.avg("v").alias("var_obs"))
+    r = each(rand).select("k", "var_name", F.col("replicate").alias("repl"), F.col("v").alias("var_rand"))
+    return empirical_p(r, o)
+
+
 def significance(samples: DataFrame, observed: Fits, n: int = 100, columns: tuple[str, ...] = ("varexpl", "t_ratio"), **options) -> tuple[DataFrame, DataFrame]:
     """Permutation test of an observed sweep: its distribution and p values."""
     ks = [r.k for r in observed.summary.select("k").distinct().orderBy("k").collect()]  # the ks of a sweep

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexlake.session import cut
 
 
 def spline_parts(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,8 @@ def fit_curves(dist: DataFrame, long: DataFrame, n_smooths: int = 4, n_points: i
             yield pd.DataFrame(out, columns=["x_name", "y_name", "x", "fit", "deriv", "deriv_sd", "z", "prob_neg", "smooth_term_p_val", "r_sq", "min_max_diff"])
 
     arrays = ", ".join(f"{c} array<double>" for c in ("x", "fit", "deriv", "deriv_sd", "z", "prob_neg"))
-    got = g.mapInPandas(run, f"x_name string, y_name string, {arrays}, smooth_term_p_val double, r_sq double, min_max_diff double").persist()
+    got = g.mapInPandas(run, f"x_name string, y_name string, {arrays}, smooth_term_p_val double, r_sq double, min_max_diff double")
+    got = cut(got)
     e = got.select("x_name", "y_name", F.explode(F.arrays_zip("x", "fit", "deriv", "deriv_sd", "z", "prob_neg")).alias("e")).select("x_name", "y_name", "e.*")
     return e, got.select("x_name", "y_name", "smooth_term_p_val", "r_sq", "min_max_diff")
 
@@ -149,3 +151,16 @@ def find_decreasing(dist: DataFrame, long: DataFrame, **options) -> dict[str, Da
     derivs, fits = fit_curves(dist, long, **options)
     s = summarise(derivs.withColumn("weights", F.lit(1.0)))
     return {"derivs": derivs, "fits": fits, "summary": s.join(fits, ["y_name", "x_name"], "full")}
+
+
+def curve_with_points(derivs: DataFrame, dist: DataFrame, long: DataFrame, feature: str, arch: str) -> DataFrame:
+    """(kind, x, y): the fitted curve of a feature over distance to an archetype, and the samples' own points."""
+    c = derivs.filter((F.col("y_name") == feature) & (F.col("x_name") == arch)).select(F.lit("fit").alias("kind"), "x", F.col("fit").alias("y"))
+    p = dist.filter(F.col("arch") == arch).join(long.filter(F.col("feature") == feature), "sample_id").select(F.lit("data").alias("kind"), F.col("dist").alias("x"), F.col("value").alias("y"))
+    return c.unionByName(p)
+
+
+def derivative_band(derivs: DataFrame, width: float = 2.0) -> DataFrame:
+    """(x_name, y_name, x, deriv, low, high): derivatives with `width` standard deviations to either side."""
+    w = F.lit(width) * F.col("deriv_sd")
+    return derivs.select("x_name", "y_name", "x", "deriv", (F.col("deriv") - w).alias("low"), (F.col("deriv") + w).alias("high"))

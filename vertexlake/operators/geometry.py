@@ -135,24 +135,43 @@ def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
     return volume, area, sorted({i for f in facets for i in f})
 
 
+#: Points of a partition that are put into one hull at a time.
+HULL_BATCH = 50_000
+
+
 def table_hull(samples: DataFrame, dims: int) -> tuple[float, float, list]:
-    """(volume, area, sample ids) of the hull of a table: hulls of the partitions, then the hull of their vertices.
+    """(volume, area, sample ids) of the hull of a table in its first `dims` dimensions: hulls of the partitions, then the hull of their vertices.
 
-    Rows inside their partition's hull never leave the executors.
+    A partition is worked through in batches, each joined with the vertices found so far, so it is never held whole; rows
+    inside never leave the executors. Rows that are null, too short or not finite in these dimensions take no part.
     """
     id_ = dict(samples.dtypes)["sample_id"]
 
     def part(batches):
         import pandas as pd
 
-        pdf = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
-        if not len(pdf):
-            return
-        x = np.array(pdf["features"].tolist(), float)[:, :dims]
-        keep = hull(x)[2] if len(x) > dims + 1 else []
-        yield pdf.iloc[keep] if keep else pdf.drop_duplicates("sample_id")
-
-    rows = samples.filter(F.size("features") >= dims).select("sample_id", F.slice("features", 1, dims).alias("features"))
+        kept = pd.DataFrame({"sample_id": [], "features": []})
+        waiting, n = [], 0
+
+        def fold() -> pd.DataFrame:
+            pdf = pd.concat([x for x in (kept, *waiting) if len(x)], ignore_index=True) if any(len(x) for x in (kept, *waiting)) else kept
+            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), dims)
+            at = hull(x)[2] if len(x) > dims + 1 else []
+            # Flat points have no hull of these dimensions yet: their distinct ones stay.
+            return pdf.iloc[at] if at else pdf.assign(f=pdf["features"].map(tuple)).drop_duplicates("f").drop(columns="f")
+
+        for b in batches:
+            waiting.append(b)
+            n += len(b)
+            if n >= HULL_BATCH:
+                kept, waiting, n = fold(), [], 0
+        kept = fold()
+        if len(kept):
+            yield kept
+
+    first = F.slice("features", 1, dims)
+    ok = (F.size("features") >= dims) & ~F.exists(first, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = samples.filter(F.coalesce(ok, F.lit(False))).select("sample_id", first.alias("features"))
     rows = rows.mapInPandas(part, f"sample_id {id_}, features array<double>").toPandas().sort_values("sample_id", ignore_index=True)
     if not len(rows):
         return float("nan"), float("nan"), []

@@ -182,8 +182,8 @@ def confusion(df: DataFrame, observed: str, predicted: str, zeros: bool = False)
     """(observed_class, predicted_class, N, proportion): proportion of the observed class. With `zeros` pairs that do not occur have N 0."""
     x = df.groupBy(F.col(observed).alias("observed_class"), F.col(predicted).alias("predicted_class")).agg(F.count("*").alias("N"))
     if zeros:
-        classes = [r[0] for r in x.select("predicted_class").distinct().orderBy("predicted_class").limit(10_000).collect()]
-        every = x.select("observed_class").distinct().withColumn("predicted_class", F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")))
+        own = x.groupBy(F.lit(0).alias("one_")).agg(F.collect_set("predicted_class").alias("own_"))  # the classes of a model
+        every = x.select("observed_class").distinct().withColumn("one_", F.lit(0)).join(own, "one_").select("observed_class", F.explode("own_").alias("predicted_class"))
         x = every.join(x, ["observed_class", "predicted_class"], "left").na.fill(0, ["N"])
     total = F.sum("N").over(Window.partitionBy("observed_class"))
     return x.withColumn("proportion", F.when(total > 0, F.col("N") / total))

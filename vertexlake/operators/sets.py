@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexlake.functions import names
-from vertexlake.session import broadcast_if_small
+from vertexlake.session import broadcast_if_small, cut
 
 
 def map_annotation(keys: DataFrame, table: DataFrame, key: str, ontology: list[str] | None = None, evidence: list[str] | None = None) -> DataFrame:
@@ -169,3 +169,55 @@ def measure_activity(long: DataFrame, annotation: DataFrame, method: str = "auc"
     else:
         s = pinv_scores(long, sets)
     return s.withColumn("set_key", names.sanitize(F.col("set_id")))
+
+
+#: The branches of the ontology, and the sources of sets besides.
+BRANCHES, OTHERS = ("BP", "MF", "CC"), ("gwas", "promoter_TF", "custom")
+
+
+def activity_of(long: DataFrame, which: str, table: DataFrame, method: str = "auc", lower: float = 1, upper: float = float("inf"), context: list[str] | None = None, max_share: float = 0.05) -> DataFrame:
+    """`measure_activity` by the kind of table that holds the sets.
+
+    A branch (BP, MF, CC): an annotation (set_id, gene, ontology), of which the branch counts, with the upper size open. gwas: a trait catalogue
+    with lists in its cells, sets are traits. promoter_TF: targets (set_id, gene), sized before they meet the features. custom: (set_id, gene),
+    sized after. Only genes that are features count in gwas and custom.
+    """
+    keys = long.select(F.col("feature").alias("gene")).distinct()
+    if which in BRANCHES:
+        sets = filter_by_size(table.filter(F.col("ontology") == which), lower, upper)
+    elif which == "gwas":
+        sets = map_catalogue(table, keys, lower, upper, context).select(F.col("uri").alias("set_id"), F.col("gene_name").alias("gene")).distinct()
+    elif which == "promoter_TF":
+        sets = map_targets(table, keys, lower, upper)
+    elif which == "custom":
+        sets = filter_by_size(table.join(keys, "gene"), lower, upper, closed=True, distinct="gene")
+    else:
+        raise ValueError(f"{which} is none of {', '.join(BRANCHES + OTHERS)}")
+    return measure_activity(long, sets.select("set_id", "gene"), method, max_share)
+
+
+def ancestors(terms: DataFrame) -> DataFrame:
+    """(id, ancestor) of every term of (id, parents array<string>): itself and all it is reached from by parents, whatever the way; circles are harmless."""
+    up = cut(terms.filter("id is not null").select("id", F.explode("parents").alias("up")).filter("up is not null").distinct())
+    own = terms.filter("id is not null").select("id", F.col("id").alias("ancestor")).distinct()
+    found = new = cut(own)
+    while new.take(1):
+        step = new.join(up.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("id", F.col("up").alias("ancestor")).distinct()
+        new = cut(step.join(found, ["id", "ancestor"], "left_anti"))
+        found = cut(found.unionByName(new))
+    return found
+
+
+def propagate(annotation: DataFrame, terms: DataFrame, set_id: str = "set_id") -> DataFrame:
+    """The annotation with each row also under all ancestors of its term, once; terms that the ontology does not have stay as they are."""
+    a = ancestors(terms).withColumnRenamed("id", set_id)
+    x = annotation.join(a, set_id, "left").withColumn(set_id, F.coalesce("ancestor", set_id)).drop("ancestor")
+    return x.distinct()
+
+
+def catalogue_lookup(catalogue: DataFrame, taxon: str | int, kind: str, taxon_col: str = "taxonomyid", kind_col: str = "rdataclass") -> DataFrame:
+    """The entries of a catalogue of annotation tables for a taxon and a class of table; none is an error."""
+    x = catalogue.filter((F.col(taxon_col) == F.lit(taxon)) & (F.col(kind_col) == kind))
+    if not x.take(1):
+        raise LookupError(f"no table of class {kind} for taxon {taxon}")
+    return x

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexlake.plans import explain, fits, tables
+from vertexlake.plans import checks, explain, fits, tables
 from vertexlake.session import ship
 
-_MODULES = (explain, tables, fits)
+_MODULES = (explain, tables, fits, checks)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

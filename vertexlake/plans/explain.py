@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vertexlake.functions import ranks
 from vertexlake.operators import bins, distance, ranktest
 from vertexlake.plans import sqlviews as v
+from vertexlake.session import cut
 from vertexlake.sources import matrix
 
 QUERIES: dict = {}
@@ -95,7 +96,7 @@ def wilcox_emb(spark: SparkSession, d: str) -> DataFrame:
 def _cnt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All (user, event type) counts with zeros, and the tenth of users nearest the first user's counts."""
     c = matrix.event_counts(spark, d)
-    long = matrix.zero_filled(c).persist()
+    long = cut(matrix.zero_filled(c))
     x = long.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("l")).select("sample_id", F.transform("l", lambda e: e["value"]).alias("features"))
     first = x.orderBy("sample_id").limit(1).select(F.lit("archetype_1").alias("arch"), F.col("features").alias("position"))
     return long, bins.bins_by_share(distance.arch_dist(x, first, 6))

@@ -51,10 +51,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", schema: str
 
 
 def read_obo(spark: SparkSession, path: str, prefix: str = "GO") -> DataFrame:
-    """(id, name, parents) of the terms of an ontology file whose id holds `prefix`."""
-    t = spark.read.option("lineSep", "\n\n").text(path).filter(F.col("value").contains("[Term]"))
-    one = lambda field: F.regexp_extract("value", rf"(?m)^{field}: *(.*?)\s*$", 1)
-    up = F.regexp_extract_all("value", F.lit(r"(?m)^is_a: *(\S+)"), F.lit(1))
+    """(id, name, parents) of the terms of an ontology file whose id holds `prefix`, with line ends of either kind."""
+    stanzas = spark.read.option("lineSep", "[Term]").text(path).select(F.regexp_replace("value", "\r", "").alias("value"))
+    t = stanzas.select(F.concat(F.lit("\n"), F.regexp_extract("value", r"(?s)^\s*(.*?)(?:\n\n|\n\[|\s*$)", 1)).alias("value"))
+    one = lambda field: F.regexp_extract("value", rf"\n{field}: *([^\n]*?) *(?:\n|$)", 1)
+    up = F.regexp_extract_all("value", F.lit(r"\nis_a: *(\S+)"), F.lit(1))
     return t.select(one("id").alias("id"), one("name").alias("name"), up.alias("parents")).filter(F.col("id").contains(prefix))
 
 
