@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexlake.functions.doubles import code_of, value_of
+from vertexlake.functions.doubles import LARGEST, code_of, value_of
 from vertexlake.session import attach, cut
 
 #: Halvings made in one pass: an interval is counted in 2**12 parts.
@@ -33,8 +33,10 @@ def usable(df: DataFrame, group: str, value: str, id_: str | None = None) -> Dat
 
     A row whose id is null is no repeat of any other.
     """
-    rows = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), code_of(F.col(value)).alias("c"), *([F.col(id_).alias("i")] if id_ else []))
-    rows = rows.filter(F.col("c").isNotNull())
+    v = F.col(value).cast("double")
+    # The value itself is tested, so that the test reaches the scan and no code is made twice.
+    counts = F.col(group).isNotNull() & (v >= 0.0) & (v <= LARGEST)
+    rows = df.filter(counts).select(F.col(group).alias("g"), code_of(F.col(value)).alias("c"), *([F.col(id_).alias("i")] if id_ else []))
     if id_ is None:
         return rows
     own = F.when(F.col("i").isNull(), F.monotonically_increasing_id())
