@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import points
-from vertexlake.operators import fit, neighbours, pcha
+from vertexlake.operators import fit, neighbours, pcha, sets
 from vertexlake.plans import catalogue
 
 
@@ -114,3 +114,26 @@ def test_fit_queries_read_the_tables_and_louvain_names_every_sample(spark, tmp_p
     assert sorted(r.sample_id for r in q["louvain"](spark, str(tmp_path)).collect()) == list(range(700))
     assert max(r.varexpl for r in q["k_sweep"](spark, str(tmp_path)).collect()) < 0.9  # noise has no triangle
     assert q["bootstrap_fit"](spark, str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize("noself", [False, True])
+@pytest.mark.parametrize("n_genes,n_sets,side", [(40, 7, 2_000), (7, 40, 2_000), (14, 12, 3)])
+def test_scores_of_a_large_matrix_are_those_of_its_inverse(spark, monkeypatch, n_genes, n_sets, side, noself):
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 3, (n_genes, n_sets)) * (rng.random((n_genes, n_sets)) < 0.4)
+    g[0], g[:, 0] = 1, 1
+    g[:, -1] = g[:, 1]  # two alike, so the inverse is a pseudo one
+    g[-1] = 0
+    g[-1, 2] = 1
+    pairs = [(f"k{j}", f"k{i}") for i in range(n_genes) for j in range(n_sets) for _ in range(int(g[i, j]))]
+    t = spark.createDataFrame([*pairs, ("k1", "nowhere")], "set_id string, gene string")
+    v = rng.normal(size=(5, n_genes))
+    rows = [(s, f"k{i}", float(v[s, i])) for s in range(5) for i in range(n_genes)] + [(5, "no set", 1.0), (6, "k0", None), (7, "k1", 2.0), (7, "k1", 1.0)]
+    long = spark.createDataFrame(rows, "sample_id int, feature string, value double")
+    of = lambda: {(r.sample_id, r.set_id): r.score for r in sets.pinv_scores(long, t, noself).collect()}
+    want = of()
+    monkeypatch.setattr(sets, "DENSE", 10)
+    monkeypatch.setattr(sets, "SIDE", side)
+    got = of()
+    assert set(got) == set(want) and {s for s, _ in got} == {0, 1, 2, 3, 4, 5, 7} and len(got) == 7 * n_sets
+    assert all(abs(got[k] - want[k]) < 1e-7 for k in want)

@@ -126,18 +126,27 @@ def set_matrix(sets: DataFrame) -> DataFrame:
     return sets.groupBy("gene", "set_id").agg(F.count("*").alias("n"))
 
 
+#: Entries of a gene-by-set matrix that is inverted as it is, and sets or genes, whichever are fewer, of a larger one whose products are.
+DENSE, SIDE = 20_000_000, 2_000
+
+
 def pinv_scores(long: DataFrame, sets: DataFrame, noself: bool = False) -> DataFrame:
     """(sample_id, set_id, score): pseudo-inverse of the gene-by-set counts times each sample's values.
 
-    Genes that no sample has take no part; empty sets are dropped. The matrix (at most 20 million entries) is on the driver.
+    Genes that no sample has take no part; empty sets are dropped. A matrix of at most DENSE entries is inverted on the driver. Of a larger one
+    the products of its sets with each other are, or those of its genes if these are fewer; where both are more than SIDE, the scores are
+    found by conjugate gradients in joins.
     """
     genes = long.select(F.col("feature").alias("gene")).distinct()
-    m = set_matrix(sets.join(genes, "gene", "left_semi")).toPandas()
-    rows, cols = sorted(m["gene"].unique()), sorted(m["set_id"].unique())
-    if len(rows) * len(cols) > 20_000_000:
-        raise ValueError("the gene-by-set matrix is too large; filter the sets by size first")
-    g = np.zeros((len(rows), len(cols)))
-    at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+    m = cut(set_matrix(sets.join(genes, "gene", "left_semi")))
+    n_genes, n_sets = m.agg(F.countDistinct("gene"), F.countDistinct("set_id")).first()
+    rows = long.filter(F.col("value").isNotNull())
+    if n_genes * n_sets > DENSE:
+        return _large_pinv(rows, m, n_genes, n_sets, noself)
+    m = m.toPandas()
+    genes_, cols = sorted(m["gene"].unique()), sorted(m["set_id"].unique())
+    g = np.zeros((len(genes_), len(cols)))
+    at, to = {x: i for i, x in enumerate(genes_)}, {x: i for i, x in enumerate(cols)}
     for r in m.itertuples():
         if not (noself and r.gene == r.set_id):
             g[at[r.gene], to[r.set_id]] = r.n
@@ -154,12 +163,109 @@ def pinv_scores(long: DataFrame, sets: DataFrame, noself: bool = False) -> DataF
             yield pd.DataFrame({"sample_id": b["sample_id"], "scores": out})
 
     id_ = dict(long.dtypes)["sample_id"]
-    rows_ = long.filter(F.col("value").isNotNull()).groupBy("sample_id").agg(F.collect_list("feature").alias("features"), F.collect_list("value").alias("values"))
+    rows_ = rows.groupBy("sample_id").agg(F.collect_list("feature").alias("features"), F.collect_list("value").alias("values"))
     got = rows_.mapInPandas(run, f"sample_id {id_}, scores array<double>")
     x = got.select("sample_id", F.posexplode("scores").alias("j", "score"))
     return x.select("sample_id", F.array(*map(F.lit, cols))[F.col("j")].alias("set_id"), "score") if cols else x.select("sample_id", F.lit("").alias("set_id"), "score").limit(0)
 
 
+def _large_pinv(rows: DataFrame, m: DataFrame, n_genes: int, n_sets: int, noself: bool) -> DataFrame:
+    """`pinv_scores` of a large matrix (gene, set_id, n): (G'G)+ G' or G' (GG')+ times the values, whichever has the smaller products."""
+    kept = m.filter(F.col("gene") != F.col("set_id")) if noself else m
+    kept = kept.select("gene", "set_id", F.col("n").cast("double").alias("n"))
+    if min(n_genes, n_sets) > SIDE:
+        return _scores_by_gradients(rows, m, kept)
+    by, over = ("set_id", "gene") if n_sets <= n_genes else ("gene", "set_id")
+    names_ = sorted(r[0] for r in m.select(by).distinct().collect())  # at most SIDE
+    spark = rows.sparkSession
+    place = spark.createDataFrame(list(enumerate(names_)), f"j int, {by} {dict(m.dtypes)[by]}")
+    e = cut(kept.join(F.broadcast(place), by))
+    inv = spark.sparkContext.broadcast(_pinv_of_products(_products(e, over, "j").toPandas(), len(names_)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = inv.value
+        for b in batches:
+            out = []
+            for js, vs in zip(b["js"], b["vs"]):
+                y = np.zeros(len(p))
+                np.add.at(y, np.asarray(js, int), np.asarray(vs, float))
+                out.append(p @ y)
+            yield pd.DataFrame({"sample_id": b["sample_id"], "scores": out})
+
+    key = e.select(F.col("gene").alias("feature"), "j", "n") if by == "set_id" else place.select(F.col("gene").alias("feature"), "j", F.lit(1.0).alias("n"))
+    # A sample without any such gene keeps a row with a null j, and so its zeros.
+    y = rows.join(key, "feature", "left").groupBy("sample_id", "j").agg(F.sum(F.col("n") * F.col("value")).alias("v"))
+    held = F.col("j").isNotNull()
+    y = y.groupBy("sample_id").agg(F.collect_list(F.when(held, F.col("j"))).alias("js"), F.collect_list(F.when(held, F.col("v"))).alias("vs"))
+    got = y.mapInPandas(run, f"sample_id {dict(rows.dtypes)['sample_id']}, scores array<double>")
+    x = got.select("sample_id", F.posexplode("scores").alias("j", "score"))
+    if by == "set_id":
+        return x.select("sample_id", F.array(*map(F.lit, names_))[F.col("j")].alias("set_id"), "score")
+    alone = m.select("set_id").distinct().join(kept, "set_id", "left_anti").select("set_id", F.lit(0).alias("j"), F.lit(0.0).alias("n"))
+    x = x.join(e.select("set_id", "j", "n").unionByName(alone), "j")
+    return x.groupBy("sample_id", "set_id").agg(F.sum(F.col("n") * F.col("score")).alias("score"))
+
+
+def _products(e: DataFrame, over: str, of: str) -> DataFrame:
+    """(a, b, w): the sum over `over` of the products of the entries of each two `of`, both ways round; absent pairs are zeros."""
+    x = e.select(over, F.col(of).alias("a"), F.col("n").alias("n_a")).join(e.select(over, F.col(of).alias("b"), F.col("n").alias("n_b")), over)
+    return x.groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("w"))
+
+
+def _pinv_of_products(pairs: pd.DataFrame, n: int) -> np.ndarray:
+    """The pseudo-inverse of a symmetric matrix of (a, b, w); parts that no entry links are inverted by themselves, so each has its own measure of what is zero."""
+    a, b, w = pairs["a"].to_numpy(int), pairs["b"].to_numpy(int), pairs["w"].to_numpy(float)
+    g = np.zeros((n, n))
+    g[a, b] = w
+    part = np.arange(n)
+    while True:
+        low = part.copy()
+        np.minimum.at(low, a, part[b])
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    out = np.zeros((n, n))
+    for q in np.unique(part):
+        at = np.flatnonzero(part == q)
+        own = np.ix_(at, at)
+        out[own] = np.linalg.pinv(g[own], rcond=4 * len(at) * np.finfo(float).eps, hermitian=True)
+    return out
+
+
+def _scores_by_gradients(rows: DataFrame, m: DataFrame, kept: DataFrame, least: float = 1e-11) -> DataFrame:
+    """Scores x of G'G x = G'v by conjugate gradients from 0, which lead to the shortest solution: a join with the products for each step.
+
+    A sample rests when its residual is `least` of that at the start; if some never do, that is an error.
+    """
+    w = cut(_products(kept, "gene", "set_id"))
+    y = rows.join(kept, rows["feature"] == kept["gene"]).groupBy("sample_id", "set_id").agg(F.sum(F.col("n") * F.col("value")).alias("r"))
+    state = cut(y.select("sample_id", "set_id", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
+    norms = cut(state.groupBy("sample_id").agg(F.sum(F.col("r") * F.col("r")).alias("rr")).withColumn("rr0", F.col("rr")))
+    for _ in range(10_000):
+        open_ = norms.filter(~F.isnan("rr") & (F.col("rr") > F.col("rr0") * least**2))
+        if not open_.take(1):
+            break
+        p = state.join(open_.select("sample_id"), "sample_id", "left_semi")
+        q = p.select("sample_id", F.col("set_id").alias("a"), "p").join(w, "a").groupBy("sample_id", F.col("b").alias("set_id")).agg(F.sum(F.col("w") * F.col("p")).alias("q"))
+        s = state.join(q, ["sample_id", "set_id"], "full").na.fill(0.0, ["x", "r", "p", "q"])
+        s = cut(s)
+        step = s.groupBy("sample_id").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(norms, "sample_id").select("sample_id", "rr", "rr0", F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(0.0).alias("alpha"))
+        s = s.join(step, "sample_id").withColumns({"x": F.col("x") + F.col("alpha") * F.col("p"), "r": F.col("r") - F.col("alpha") * F.col("q")})
+        s = cut(s.select("sample_id", "set_id", "x", "r", "p", "rr", "rr0"))
+        new = cut(s.groupBy("sample_id").agg(F.sum(F.col("r") * F.col("r")).alias("new")))
+        s = s.join(new, "sample_id").withColumn("p", F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0) * F.col("p"))
+        norms = cut(norms.join(new, "sample_id").select("sample_id", F.col("new").alias("rr"), "rr0"))
+        state = cut(s.select("sample_id", "set_id", "x", "r", "p"))
+    else:
+        raise RuntimeError("the scores did not converge")
+    every = rows.select("sample_id").distinct().crossJoin(m.select("set_id").distinct())
+    broken = norms.filter(F.isnan("rr")).select(F.col("sample_id").alias("s_"), F.lit(float("nan")).alias("nan_"))
+    x = every.join(state.select(F.col("sample_id").alias("s_"), F.col("set_id").alias("c_"), "x"), F.col("sample_id").eqNullSafe(F.col("s_")) & (F.col("set_id") == F.col("c_")), "left").drop("s_")
+    x = x.join(broken, F.col("sample_id").eqNullSafe(F.col("s_")), "left")
+    return x.select("sample_id", "set_id", F.coalesce("nan_", "x", F.lit(0.0)).alias("score"))
+
+
 def measure_activity(long: DataFrame, annotation: DataFrame, method: str = "auc", max_share: float = 0.05, lower: float = 1, upper: float = float("inf"), branch: list[str] | None = None) -> DataFrame:
     """(sample_id, set_id, set_key, score): filtered sets scored by 'auc' or 'pseudoinverse', with cleaned set names."""
     sets = filter_go(annotation, None, lower, upper, branch).select("set_id", "gene")
