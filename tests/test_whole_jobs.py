@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import points
-from vertexlake.operators import fit, neighbours, pcha, sets
+from vertexlake.operators import fit, manyfits, neighbours, pcha, sets
 from vertexlake.plans import catalogue
 
 
@@ -137,3 +137,31 @@ def test_scores_of_a_large_matrix_are_those_of_its_inverse(spark, monkeypatch, n
     got = of()
     assert set(got) == set(want) and {s for s, _ in got} == {0, 1, 2, 3, 4, 5, 7} and len(got) == 7 * n_sets
     assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_large_replicates_are_fitted_in_the_same_passes(spark, monkeypatch):
+    monkeypatch.setattr(fit, "LOCAL", 10)
+    monkeypatch.setattr(manyfits, "NUMBERS", 128)
+    monkeypatch.setattr(pcha, "distributed_fit", None)  # one replicate after another
+    x = points(300)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x.T)], "sample_id int, features array<double>")
+    passes = []
+    ask = manyfits.ask
+    monkeypatch.setattr(manyfits, "ask", lambda *a: passes.append(len(a[2])) or ask(*a))
+    b = fit.bootstrap(df, [3], n=4, seed=7)
+    rows = b.summary.collect()
+    best = pcha.pcha(x, 3, seed=0)
+    assert [r.replicate for r in rows] == [1, 2, 3, 4] and all(r.converged for r in rows) and passes[:3] == [4, 4, 4] and len(passes) < 40
+    assert all(abs(r.varexpl - best.varexpl) < 0.01 and 0 < r.t_ratio <= 1.1 for r in rows)
+    sizes = np.array([64, 64, 64, 64, 44])
+    once, twice = manyfits.drawn(sizes, 195, 7, "a", False), manyfits.drawn(sizes, 195, 7, "a", True)
+    assert once.sum() == twice.sum() == 195 and (once <= sizes).all()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_nearest_weights_are_the_best(k):
+    rng = np.random.default_rng(k)
+    x, xc = rng.normal(size=(5, 400)), rng.normal(size=(5, k))
+    xc[:, -1] = xc[:, 0]  # a flat simplex
+    s, t = pcha.nearest_weights(x, xc), pcha.simplex_weights(x, xc, 3_000)
+    assert np.allclose(s.sum(0), 1) and s.min() >= 0 and (((x - xc @ s) ** 2).sum(0) <= ((x - xc @ t) ** 2).sum(0) + 1e-9).all()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexlake.functions import blocks, keyed, ranks
-from vertexlake.operators import geometry, pcha
+from vertexlake.operators import geometry, manyfits, pcha
 from vertexlake.session import cut
 
 #: Numbers in a matrix that is sent to the tasks: 16 MB.
@@ -346,6 +346,8 @@ def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None,
     times, part = options.pop("bootstrap_", (0, 0.0))
     good, n, dims = whole_rows(samples)
     if n * dims > LOCAL:
+        if method == "pcha" and n < manyfits.MOST_ROWS and not set(options) - {"conv", "maxiter", "directions"}:
+            return _many_at_once(good, n, dims, tasks, share, replace, simplex, seed, ratio, permute, times, part, options)
         numbered = ranks.numbered(good, [F.col("sample_id"), F.col("features")]).select(F.col("rn").alias("sample_id"), "features")
         parts = []
         for k, r in tasks:
@@ -385,6 +387,43 @@ def _many(samples: DataFrame, tasks: list[tuple[int, int]], share: float | None,
     return Fits(arch, got.drop("positions"))
 
 
+def _many_at_once(good: DataFrame, n: int, dims: int, tasks: list[tuple[int, int]], share: float | None, replace: bool, simplex: bool, seed: int, ratio: str, permute: bool, times: int, part: float, options: dict) -> Fits:
+    """`_many` of a large table by convex hulls: all fits of a table in the same passes, and so many permuted tables as `manyfits.TOGETHER` allows."""
+    spark = good.sparkSession
+    base, sizes = manyfits.packed(good, n, dims)
+    base = base.persist()
+    size_of = lambda k: min(dims, max(1, k - 1)) if simplex else dims
+
+    def job(k: int, r: int) -> manyfits.Job:
+        j = manyfits.Job(k, seed + r, size_of(k), r if permute else 0, ratio=ratio)
+        return _on_draw(j, f"sample/{r}", share, replace) if not permute and share is not None and r else j
+
+    def _on_draw(j: manyfits.Job, stream: str, share: float, replace: bool) -> manyfits.Job:
+        j.counts, j.stream, j.replace = manyfits.drawn(sizes, int(np.round(n * share)), seed, stream, replace), f"{seed}/{stream}", replace
+        return j
+
+    reps = list(dict.fromkeys(r for _, r in tasks)) if permute else [0]
+    groups = -(-len(reps) // max(1, manyfits.TOGETHER // (n * dims))) if permute else 1
+    parts: dict[tuple[int, int], tuple] = {}
+    for own in np.array_split(reps, groups):
+        own = own.tolist()
+        now = [t for t in tasks if not permute or t[1] in own]
+        table = manyfits.permuted(base, sizes, dims, seed, own, replace).persist() if permute else base
+        jobs = [job(k, r) for k, r in now]
+        inner = [_on_draw(manyfits.Job(k, seed + r + i, size_of(k), r if permute else 0), f"inner/{1_000 * r + i}", part, False) for k, r in now for i in range(times)]
+        got = manyfits.fits(table, jobs + inner, len(sizes), dims, **options)
+        spreads = manyfits.spread(table, jobs, dims) if times else [0.0] * len(now)
+        for q, (k, r) in enumerate(now):
+            f, large = got[q]
+            again = [g[0].xc for g in got[len(now) + q * times : len(now) + (q + 1) * times]]
+            parts[k, r] = _rows("pcha", k, r, f, None, "none", _total_variance(again, spreads[q]), large=large)
+        if permute:
+            table.unpersist()
+    base.unpersist()
+    made = [parts[t] for t in tasks]
+    return Fits(spark.createDataFrame([a for p, _ in made for a in p], ARCHETYPES), spark.createDataFrame([s for _, s in made], SUMMARY))
+
+
 def _pick(u: np.ndarray, replace: bool) -> np.ndarray:
     return (u * len(u)).astype(int) if replace else np.argsort(u, kind="stable")
 

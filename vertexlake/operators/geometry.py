@@ -74,18 +74,15 @@ def simplex_volume(xc: np.ndarray) -> float:
     return abs(float(np.linalg.det(v[:, :-1] - v[:, [-1]]))) / math.factorial(k - 1)
 
 
-def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
-    """(volume, area, vertices) of the convex hull of points (n x dims, 2 to 8 dims) by incremental facets.
-
-    Flat or too few points give (NaN, NaN, []).
-    """
+def _facets(points: np.ndarray) -> tuple[dict, np.ndarray, float] | None:
+    """(facets, a point inside, the tolerance) of a hull: ids, outward normal and offset by ids. None for flat or too few points."""
     p = np.asarray(points, float)
     n, d = p.shape
     if not 2 <= d <= 8:
         raise ValueError("hulls need 2 to 8 dimensions")
     scale = np.abs(p - p.mean(0)).max() if n else 0.0
     if n <= d or scale == 0:
-        return float("nan"), float("nan"), []
+        return None
     eps = 1e-10 * scale
     base = [int(np.argmin(p[:, 0]))]
     q = p - p[base[0]]
@@ -95,7 +92,7 @@ def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
         far = np.sqrt((rest**2).sum(1))
         j = int(np.argmax(far))
         if far[j] <= 1e-9 * scale:
-            return float("nan"), float("nan"), []
+            return None
         base.append(j)
         basis = np.vstack([basis, rest[j] / far[j]])
     inner = p[base].mean(0)
@@ -125,6 +122,20 @@ def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
             if times == 1:
                 ids = tuple(sorted((*e, int(j))))
                 facets[ids] = facet(ids)
+    return facets, inner, eps
+
+
+def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
+    """(volume, area, vertices) of the convex hull of points (n x dims, 2 to 8 dims) by incremental facets.
+
+    Flat or too few points give (NaN, NaN, []).
+    """
+    p = np.asarray(points, float)
+    d = p.shape[1]
+    got = _facets(p)
+    if got is None:
+        return float("nan"), float("nan"), []
+    facets, inner, _ = got
     volume = area = 0.0
     for ids, normal, off in facets.values():
         m = p[list(ids)]
@@ -135,6 +146,28 @@ def hull(points: np.ndarray) -> tuple[float, float, list[int]]:
     return volume, area, sorted({i for f in facets for i in f})
 
 
+def outline(points: np.ndarray) -> np.ndarray:
+    """The rows of points (n x dims) that are vertices of their hull; of flat points the distinct ones, as they may be vertices among others.
+
+    Points within the hull of some extreme ones are left out first.
+    """
+    p = np.asarray(points, float)
+    n, d = p.shape
+    if n > 200 and d <= 4:
+        w = np.random.default_rng(0).normal(size=(32, d))
+        v = p @ w.T
+        start = np.unique(np.concatenate([v.argmax(0), v.argmin(0)]))
+        got = _facets(p[start])
+        if got is not None:
+            out = np.zeros(n, bool)
+            for _, normal, off in got[0].values():
+                out |= p @ normal - off > 0
+            out[start] = True
+            p = p[out]
+    at = hull(p)[2] if len(p) > d + 1 else []
+    return p[at] if at else np.unique(p, axis=0)
+
+
 #: Points of a partition that are put into one hull at a time.
 HULL_BATCH = 50_000
 

@@ -6,7 +6,8 @@ X (dims x samples) is approximated by X C S with the columns of C and S on the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,18 +147,41 @@ def simplex_weights(x: np.ndarray, xc: np.ndarray, steps: int = 200) -> np.ndarr
     return s
 
 
+def nearest_weights(x: np.ndarray, xc: np.ndarray) -> np.ndarray:
+    """`simplex_weights`, for up to 4 archetypes exactly: the best of the feet on all faces of their simplex that lie within the face."""
+    k, n = xc.shape[1], x.shape[1]
+    if k > 4:
+        return simplex_weights(x, xc)
+    gram, cross = xc.T @ xc, xc.T @ x
+    s, best = np.zeros((k, n)), np.full(n, np.inf)
+    for size in range(1, k + 1):
+        for face in map(list, itertools.combinations(range(k), size)):
+            sides = xc[:, face[1:]] - xc[:, face[:1]]
+            lengths = np.linalg.svd(sides, compute_uv=False) if size > 1 else np.ones(1)
+            if size - 1 > len(xc) or lengths[-1] <= 1e-9 * lengths[0]:
+                continue  # a flat face: its points lie on smaller ones too
+            w = np.ones((size, n))
+            if size > 1:
+                w[1:] = np.linalg.pinv(sides) @ (x - xc[:, face[:1]])
+                w[0] -= w[1:].sum(0)
+            error = ((gram[np.ix_(face, face)] @ w - 2 * cross[face]) * w).sum(0)
+            at = np.flatnonzero((error < best) & (w.min(0) >= 0))
+            best[at] = error[at]
+            s[:, at] = 0.0
+            s[np.ix_(face, at)] = w[:, at]
+    return s
+
+
 def least_squares_weights(x: np.ndarray, xc: np.ndarray) -> np.ndarray:
     """For each column of x the weights of its best combination of archetypes without constraints."""
     return np.linalg.lstsq(xc, x, rcond=None)[0]
 
 
-def dictionary(samples: DataFrame, dims: int, directions: int = 200, seed: int = 11) -> np.ndarray:
-    """Extreme samples (dims x m): those furthest along random directions, both ways, found in one aggregate.
+def dictionary(samples: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Extreme samples (dims x m): those furthest along the directions w (directions x dims), both ways, found in one aggregate.
 
     Its size is at most twice the number of directions, whatever the number of samples.
     """
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=(directions, dims))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple[float, list[float]]] = {}
@@ -177,7 +201,7 @@ def dictionary(samples: DataFrame, dims: int, directions: int = 200, seed: int =
 
     parts = samples.select("features").mapInPandas(partial, "q int, v double, x array<double>")
     rows = parts.groupBy("q").agg(F.max(F.struct("v", "x")).alias("b")).select("b.x").distinct().collect()
-    return np.array(sorted(r.x for r in rows), float).reshape(len(rows), dims).T
+    return np.array(sorted(r.x for r in rows), float).reshape(len(rows), w.shape[1]).T
 
 
 def distributed_fit(samples: DataFrame, k: int, dims: int, seed: int = 0, conv: float = 1e-4, maxiter: int = 200, directions: int = 200) -> Fit:
@@ -195,52 +219,110 @@ def distributed_fit(samples: DataFrame, k: int, dims: int, seed: int = 0, conv:
 
 
 def _distributed(good: DataFrame, k: int, dims: int, seed: int, conv: float, maxiter: int, directions: int) -> Fit:
-    d = dictionary(good, dims, directions, seed)
+    steps = search(k, dims, seed, conv, maxiter, directions)
+    answer = None
+    while True:
+        try:
+            kind, arg = steps.send(answer)
+        except StopIteration as end:
+            return end.value
+        if kind == "extremes":
+            answer = dictionary(good, arg)
+        elif kind == "sums":
+            answer = _sums(good, k, dims, arg)
+        elif kind == "start":
+            answer = arg[1]
+        else:
+            answer = _missing(good, arg)
+
+
+def search(k: int, dims: int, seed: int, conv: float, maxiter: int, directions: int) -> Generator:
+    """The rounds of a fit, which asks for what only a pass over the samples can tell, and returns the fit. Asked and answered:
+
+    ("extremes", directions x dims): the distinct samples furthest along the directions, both ways (dims x m). ("sums", dims x k): S S', X S', the error
+    and the sum of squares, S being the weights for these archetypes. ("start", (dictionary, c)): c, or a better one to start with. ("least", dims x k): the least products of samples and columns, and those samples.
+    """
+    d = yield "extremes", np.random.default_rng(seed).normal(size=(directions, dims))
     m = d.shape[1]
     if m < k:
         return Fit(np.full((dims, k), np.nan), None, None, float("nan"), float("nan"), 0, False)
     c = np.zeros((m, k))
     c[furthest_sum(d, k, np.random.default_rng(seed)), np.arange(k)] = 1.0
+    c = yield "start", (d, c)
     mu, old, rounds, done, sst = 1.0, None, 0, False, 1.0
     while rounds < maxiter:
         rounds += 1
         xc = d @ c
-
-        def sums(batches: Iterator[pd.DataFrame], xc: np.ndarray = xc) -> Iterator[pd.DataFrame]:
-            ss, xs, sse, sst = np.zeros((k, k)), np.zeros((dims, k)), 0.0, 0.0
-            for b in batches:
-                x = blocks.rows(b["features"]).T
-                if not x.shape[1] or not len(b):
-                    continue
-                s = simplex_weights(x, xc)
-                ss += s @ s.T
-                xs += x @ s.T
-                sse += float(((x - xc @ s) ** 2).sum())
-                sst += float((x * x).sum())
-            yield pd.DataFrame({"ss": [ss.ravel().tolist()], "xs": [xs.ravel().tolist()], "sse": [sse], "sst": [sst]})
-
-        got = good.mapInPandas(sums, "ss array<double>, xs array<double>, sse double, sst double").toPandas()  # a row for each partition
-        ss = np.sum([np.array(v) for v in got["ss"]], 0).reshape(k, k)
-        xs = np.sum([np.array(v) for v in got["xs"]], 0).reshape(dims, k)
-        sse, sst = float(got["sse"].sum()), float(got["sst"].sum()) or 1.0
+        ss, xs, sse, sst = yield "sums", xc
+        sst = sst or 1.0
         if old is not None and abs(old - sse) < conv * sse or sse < 1e-12 * sst:
-            new = np.zeros((0, dims)) if sse < 1e-12 * sst else _missing(good, d, xc, xc @ ss - xs, conv * sse)
+            new = np.zeros((0, dims))
+            if sse >= 1e-12 * sst:
+                # Samples outside the dictionary towards which the error still falls: none if moving all archetypes there could not lower it enough.
+                slope = xc @ ss - xs
+                v, at = yield "least", slope
+                if 2 * float((slope * xc).sum() - np.sum(v)) > conv * sse:
+                    known = {tuple(v) for v in d.T.tolist()}
+                    new = np.array(sorted({tuple(v) for v in np.asarray(at).tolist()} - known), float).reshape(-1, dims)
             if not len(new):
                 done = True
                 break
             d, c = np.hstack([d, new.T]), np.vstack([c, np.zeros((len(new), k))])
         old = sse
-        loss = lambda z: float(sst - 2 * (xs * (d @ z)).sum() + (((d @ z) @ ss) * (d @ z)).sum())  # noqa: B023, E731
-        grad = lambda z: (d.T @ ((d @ z) @ ss - xs)) / sst  # noqa: B023, E731
-        c, _, mu = _descend(c, grad, loss, mu, loss(c), 30)
+        c, mu = _move(d, c, ss, xs, sst, mu)
     return Fit(d @ c, None, c, sse, (sst - sse) / sst, rounds, done)
 
 
-def _missing(good: DataFrame, d: np.ndarray, xc: np.ndarray, slope: np.ndarray, least: float) -> np.ndarray:
-    """Samples outside the dictionary towards which the error still falls: for each archetype the one of steepest fall.
+def _move(d: np.ndarray, c: np.ndarray, ss: np.ndarray, xs: np.ndarray, sst: float, mu: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """The archetypes d c moved over the dictionary by the sums of a pass, and the next step's length."""
+    loss = lambda z: float(sst - 2 * (xs * (d @ z)).sum() + (((d @ z) @ ss) * (d @ z)).sum())
+    grad = lambda z: (d.T @ ((d @ z) @ ss - xs)) / sst
+    c, _, mu = _descend(c, grad, loss, mu, loss(c), steps)
+    return c, mu
 
-    None if moving all archetypes towards them could not lower the error by `least`.
-    """
+
+def settled(x: np.ndarray, d: np.ndarray, c: np.ndarray, conv: float, maxiter: int = 150) -> np.ndarray:
+    """c after rounds on some samples in memory, each carried on a little further (never uphill): where the rounds over all samples may start."""
+    mu, sst, ahead, least, best, last, resting = 1.0, float((x * x).sum()) or 1.0, 1, np.inf, c, c, 0
+    for _ in range(maxiter):
+        xc = d @ c
+        s = nearest_weights(x, xc)
+        sse = float(((x - xc @ s) ** 2).sum())
+        if sse > least:  # too far: back to the best, without carrying on
+            c, ahead, least = best, 1, np.inf
+            continue
+        resting = resting + 1 if least - sse < conv * sse else 0
+        if resting == 3 or sse < 1e-12 * sst:
+            return c
+        least, best = sse, c
+        new, mu = _move(d, c, s @ s.T, x @ s.T, sst, mu, 100)
+        c = np.maximum(new + (ahead - 1) / (ahead + 2) * (new - last), 0.0)
+        c, last, ahead = c / np.maximum(c.sum(0), 1e-300), new, ahead + 1
+    return best
+
+
+def _sums(good: DataFrame, k: int, dims: int, xc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ss, xs, sse, sst = np.zeros((k, k)), np.zeros((dims, k)), 0.0, 0.0
+        for b in batches:
+            x = blocks.rows(b["features"]).T
+            if not x.shape[1] or not len(b):
+                continue
+            s = simplex_weights(x, xc)
+            ss += s @ s.T
+            xs += x @ s.T
+            sse += float(((x - xc @ s) ** 2).sum())
+            sst += float((x * x).sum())
+        yield pd.DataFrame({"ss": [ss.ravel().tolist()], "xs": [xs.ravel().tolist()], "sse": [sse], "sst": [sst]})
+
+    got = good.mapInPandas(sums, "ss array<double>, xs array<double>, sse double, sst double").toPandas()  # a row for each partition
+    ss = np.sum([np.array(v) for v in got["ss"]], 0).reshape(k, k)
+    xs = np.sum([np.array(v) for v in got["xs"]], 0).reshape(dims, k)
+    return ss, xs, float(got["sse"].sum()), float(got["sst"].sum())
+
+
+def _missing(good: DataFrame, slope: np.ndarray) -> tuple[list[float], list[list[float]]]:
+    """For each column of `slope` the least product with a sample, and that sample."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -251,10 +333,7 @@ def _missing(good: DataFrame, d: np.ndarray, xc: np.ndarray, slope: np.ndarray,
                 yield pd.DataFrame({"q": np.arange(p.shape[1]), "v": p[at, np.arange(p.shape[1])], "x": [x[i].tolist() for i in at]})
 
     best = good.mapInPandas(partial, "q int, v double, x array<double>").groupBy("q").agg(F.min(F.struct("v", "x")).alias("b")).select("q", "b.*").collect()
-    if 2 * sum(float(slope[:, r.q] @ xc[:, r.q]) - r.v for r in best) <= least:
-        return np.zeros((0, len(d)))
-    known = {tuple(v) for v in d.T.tolist()}
-    return np.array(sorted({tuple(r.x) for r in best} - known), float).reshape(-1, len(d))
+    return [r.v for r in best], [r.x for r in best]
 
 
 def weights(samples: DataFrame, xc: np.ndarray) -> DataFrame:
