@@ -165,3 +165,19 @@ def test_nearest_weights_are_the_best(k):
     xc[:, -1] = xc[:, 0]  # a flat simplex
     s, t = pcha.nearest_weights(x, xc), pcha.simplex_weights(x, xc, 3_000)
     assert np.allclose(s.sum(0), 1) and s.min() >= 0 and (((x - xc @ s) ** 2).sum(0) <= ((x - xc @ t) ** 2).sum(0) + 1e-9).all()
+
+
+def test_large_permutations_hold_every_value_once(spark, monkeypatch):
+    monkeypatch.setattr(fit, "LOCAL", 10)
+    monkeypatch.setattr(manyfits, "NUMBERS", 128)
+    monkeypatch.setattr(pcha, "distributed_fit", None)  # one replicate after another
+    x = points(300)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x.T)], "sample_id int, features array<double>")
+    base, sizes = manyfits.packed(df, 300, 2)
+    got = manyfits.permuted(base, sizes, 2, 1, [1, 2], False).orderBy("table_", "block").collect()
+    tables = [np.vstack([np.frombuffer(r.x).reshape(-1, 2) for r in got if r.table_ == t]) for t in (1, 2)]
+    for t in tables:
+        assert (np.sort(t, 0) == np.sort(x.T, 0)).all() and len({tuple(v) for v in t.tolist()} & {tuple(v) for v in x.T.tolist()}) < 30
+    assert (tables[0] != tables[1]).any()
+    rows = fit.permuted(df, [3], n=2).summary.collect()
+    assert [r.replicate for r in rows] == [1, 2] and all(r.varexpl is not None and r.t_ratio is not None for r in rows)

@@ -197,7 +197,7 @@ def ask(table: DataFrame, jobs: list[Job], asked: dict[int, tuple[str, object]],
 
     got = table.mapInPandas(run, "q int, v binary")
     if any(kind in ("extremes", "outline", "start") for kind, _ in asked.values()):
-        got = got.groupBy("q").applyInPandas(merge, "q int, v binary")
+        got = got.repartition(4 * len(asked), "q").groupBy("q").applyInPandas(merge, "q int, v binary")
     answers: dict[int, object] = {}
     for r in sorted(got.collect()):  # sums: some hundred bytes for each job and partition
         v = pickle.loads(bytes(r.v))
